@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sluicebox.llm.exact_dedup import exact_groups
+from sluicebox.llm.language_id import fit, identify
 from sluicebox.session import table
 
 #: Words are runs of anything but these characters.
@@ -15,8 +16,14 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).drop("text_length")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, fit(docs))
+
+
 QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL = {
