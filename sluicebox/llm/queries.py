@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sluicebox.llm.byte_bpe import encode_decode
 from sluicebox.llm.exact_dedup import exact_groups
 from sluicebox.llm.language_id import fit, identify
+from sluicebox.llm.secret_scan import BASE, as_text, scan
 from sluicebox.session import table
 
 #: Words are runs of anything but these characters.
@@ -29,13 +30,60 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
+    return found.select(
+        F.col("path").alias("doc_id"), *[count(k).alias(f"n_{k}") for k in BASE],
+        F.sha2(as_text(F.col("found"), BASE), 256).alias("base_sha256"), as_text(F.col("found")).alias("spans"),
+    )
+
+
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
     "op3_byte_bpe": op3_byte_bpe,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_language_id": op10_language_id,
 }
 
+def _span_sql(kind: str, pattern: str, options: str = "") -> str:
+    """Rows (doc_id, kind, start, end, whole) of a pattern's matches, placed by the lengths around them."""
+    return rf"""
+        SELECT doc_id, '{kind}' AS kind, whole, (b + list_sum(list_transform(parts[1:i], lambda x: length(x)))
+               + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s FROM (
+            SELECT doc_id, ms, parts, 0 AS b, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS whole FROM (
+                SELECT doc_id, regexp_extract_all(t, {pattern}, 0{options}) AS ms,
+                       string_split_regex(t, {pattern}{options}) AS parts FROM d))"""
+
+
+#: The patterns of the base kinds, as SQL strings, and one for the last group of `assign`.
+_ASSIGN = r"""'(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+'"""
+_HEAD = r"""'^(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?'"""
+#: The kinds that the operator adds to the base.
+_ADDED = {
+    "private_key": r"'-----BEGIN [A-Z ]*PRIVATE KEY-----'",
+    "jwt": r"'eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}'",
+    "github": r"'gh[pousr]_[A-Za-z0-9]{36,}'",
+    "slack": r"'xox[abprs]-[A-Za-z0-9-]{10,}'",
+}
+
 ORACLE_SQL = {
+    "op2_secret_scan": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        m AS ({_span_sql("assign", _ASSIGN)} UNION ALL {_span_sql("access", "'AKIA[A-Z0-9]+'")}
+              UNION ALL {_span_sql("hex", "'[0-9a-f]+'")}
+              UNION ALL {" UNION ALL ".join(_span_sql(k, p) for k, p in _ADDED.items())}),
+        k AS (SELECT doc_id, kind, s, s + length(whole) AS e,
+                     list_position(['assign', 'access', 'hex', 'private_key', 'jwt', 'github', 'slack'], kind) AS rank FROM m
+              WHERE CASE kind WHEN 'assign' THEN length(regexp_replace(whole, {_HEAD}, '')) >= 6
+                              WHEN 'access' THEN length(whole) >= 20 WHEN 'hex' THEN length(whole) >= 24 ELSE true END),
+        g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS c,
+                     count(*) FILTER (kind = 'hex') AS h,
+                     string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank <= 3) AS base,
+                     string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans FROM k GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex,
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN g USING (doc_id)""",
     "op8_exact_dedup": rf"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n,
                           sha256(regexp_replace(coalesce(text, ''), '{GAP_CLASS}', '', 'g')) AS sha FROM documents)
