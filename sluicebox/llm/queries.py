@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sluicebox.llm.byte_bpe import encode_decode
 from sluicebox.llm.exact_dedup import exact_groups
 from sluicebox.llm.language_id import fit, identify
+from sluicebox.llm.quality_rules import judge
 from sluicebox.llm.secret_scan import BASE, as_text, scan
 from sluicebox.session import table
 
@@ -39,7 +40,13 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = judge(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES = {
+    "op4_quality_rules": op4_quality_rules,
     "op2_secret_scan": op2_secret_scan,
     "op3_byte_bpe": op3_byte_bpe,
     "op8_exact_dedup": op8_exact_dedup,
