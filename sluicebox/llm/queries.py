@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sluicebox.llm.byte_bpe import encode_decode
 from sluicebox.llm.exact_dedup import exact_groups
 from sluicebox.llm.language_id import fit, identify
+from sluicebox.llm.mixing import mix
 from sluicebox.llm.quality_rules import judge
 from sluicebox.llm.secret_scan import BASE, as_text, scan
 from sluicebox.session import table
@@ -45,7 +46,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).taken()
+
+
 QUERIES = {
+    "op5_source_mixing": op5_source_mixing,
     "op4_quality_rules": op4_quality_rules,
     "op2_secret_scan": op2_secret_scan,
     "op3_byte_bpe": op3_byte_bpe,
