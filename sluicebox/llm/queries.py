@@ -11,6 +11,7 @@ from sluicebox.llm.chat_format import format_chats
 from sluicebox.llm.exact_dedup import exact_groups
 from sluicebox.llm.language_id import fit, identify
 from sluicebox.llm.mixing import mix
+from sluicebox.llm.pii import pseudonymise
 from sluicebox.llm.quality_rules import judge
 from sluicebox.llm.secret_scan import BASE, as_text, scan
 from sluicebox.session import table
@@ -58,7 +59,12 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(rows.unionByName(extra)).read()
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents"), key="surrogate key of the registered query")
+
+
 QUERIES = {
+    "op7_pii_surrogates": op7_pii_surrogates,
     "op6_chat_format": op6_chat_format,
     "op5_source_mixing": op5_source_mixing,
     "op4_quality_rules": op4_quality_rules,
