@@ -12,6 +12,7 @@ from sluicebox.llm.exact_dedup import exact_groups
 from sluicebox.llm.language_id import fit, identify
 from sluicebox.llm.mixing import mix
 from sluicebox.llm.pii import pseudonymise
+from sluicebox.llm import quality_classifier
 from sluicebox.llm.quality_rules import judge
 from sluicebox.llm.secret_scan import BASE, as_text, scan
 from sluicebox.session import table
@@ -63,7 +64,13 @@ def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents"), key="surrogate key of the registered query")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.classify(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels"))).drop("text_hash")
+
+
 QUERIES = {
+    "op9_quality_classifier": op9_quality_classifier,
     "op7_pii_surrogates": op7_pii_surrogates,
     "op6_chat_format": op6_chat_format,
     "op5_source_mixing": op5_source_mixing,
