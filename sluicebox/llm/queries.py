@@ -11,6 +11,7 @@ from sluicebox.llm.chat_format import format_chats
 from sluicebox.llm.exact_dedup import exact_groups
 from sluicebox.llm.language_id import fit, identify
 from sluicebox.llm.mixing import mix
+from sluicebox.llm.ngram_join import ngram_join
 from sluicebox.llm.pii import pseudonymise
 from sluicebox.llm import quality_classifier
 from sluicebox.llm.quality_rules import judge
@@ -69,7 +70,13 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels"))).drop("text_hash")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join(table(spark, sf_dir, "documents"), k=4, num=85, den=100).groups()
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op9_quality_classifier": op9_quality_classifier,
     "op7_pii_surrogates": op7_pii_surrogates,
     "op6_chat_format": op6_chat_format,
