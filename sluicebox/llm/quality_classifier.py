@@ -160,7 +160,7 @@ def classify(docs: DataFrame, model: Scorecard, id_col: str = "doc_id", text_col
     at_path = (F.col("s") - own + k_path * F.col("host_quality")) / (F.col("n") - 1 + k_path)
     both = both.withColumn("host_quality", at_host).withColumn("path_quality", at_path)
     odds = _logit(own) + _logit(F.col("path_quality")) - _logit(F.lit(rate))
-    both = both.withColumn("quality", F.coalesce(1 / (1 + F.exp(-odds)), F.lit(0.0)))
+    both = both.withColumn("quality", F.when(own.isNull(), 0.0).otherwise(1 / (1 + F.exp(-odds))))
     return both.select(id_col, "doc_quality", "host_quality", "path_quality", "quality", (F.col("quality") >= threshold).alias("kept"), "text_hash")
 
 
