@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from sluicebox.plans import vectors
+
+QUERIES: dict = {**vectors.QUERIES}
+ORACLE_SQL: dict = {**vectors.ORACLE_SQL}
