@@ -26,8 +26,9 @@ from pyspark.sql.window import Window as W
 
 from sluicebox.llm.common import WORD, park, word_count
 
-#: Documents in a chunk of the order, about. Positions are summed within chunks first and then over them.
-CHUNK = 2000
+#: Positions are summed within chunks of the order first and then over the chunks: of about so many documents, but
+#: no more chunks than MOST_CHUNKS, since one task sums over a source's chunks.
+CHUNK, MOST_CHUNKS = 500, 20_000
 #: Sources have weights, which somebody writes down; more of them than this is an error rather than a larger driver.
 MOST_SOURCES = 200_000
 
@@ -111,7 +112,7 @@ class Mix:
         kind = T.StructType([T.StructField("sid", T.IntegerType()), T.StructField("source", slim.schema["source"].dataType), *(T.StructField(n, t) for n, t in (("source_size", T.LongType()), ("target", T.DoubleType()), ("blocks", T.LongType()), ("slots", T.LongType()), ("last", T.LongType())))])
         self.table = F.broadcast(self.spark.createDataFrame(table, kind))
         named = slim.join(self.table.select("sid", F.col("source").alias("_s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-        self.rows = park(self._placed(named.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(1, rows // CHUNK)))).drop("source")), "rows")
+        self.rows = park(self._placed(named.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(1, min(MOST_CHUNKS, rows // CHUNK))))).drop("source")), "rows")
         self.slots = park(self._slots(), "slots")
         self.pieces = self._pieces()
 
