@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sluicebox.plans import vectors
+from sluicebox.plans import tables, vectors
 
-QUERIES: dict = {**vectors.QUERIES}
-ORACLE_SQL: dict = {**vectors.ORACLE_SQL}
+QUERIES: dict = {**vectors.QUERIES, **tables.QUERIES}
+ORACLE_SQL: dict = {**vectors.ORACLE_SQL, **tables.ORACLE_SQL}
