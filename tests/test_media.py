@@ -75,25 +75,23 @@ def test_curate(spark, folder, tmp_path):
         sinks.require_copied(lost)
 
 
-def _probe(path):
-    if path.endswith("broken.avi"):
-        raise OSError("unreadable")
-    return "Duration: 00:00:02.50, Stream #0:0: Video: H264 (High), 10 fps"
-
-
-def _command(path, folder, start, decoder):
-    names = f"[open('{folder}/%011d.jpg' % n, 'w').close() for n in range({start}, {start} + 25)]"
-    return [sys.executable, "-c", names if "broken" not in path else "raise SystemExit('no video')"]
+def test_videos(spark, tmp_path):
+    def probe(path):
+        if path.endswith("broken.avi"):
+            raise OSError("unreadable")
+        return "Duration: 00:00:02.50, Stream #0:0: Video: H264 (High), 10 fps"
 
+    def command(path, folder, start, decoder):
+        names = f"[open('{folder}/%011d.jpg' % n, 'w').close() for n in range({start}, {start} + 25)]"
+        return [sys.executable, "-c", names if "broken" not in path else "raise SystemExit('no video')"]
 
-def test_videos(spark, tmp_path):
     (tmp_path / "in" / "b").mkdir(parents=True)
     for name in ("z.mp4", "b/a.MOV", "b/broken.avi", "b/notes.txt"):
         (tmp_path / "in" / name).write_text("x")  # empty files are not listed
-    plan = curation.plan_videos(spark, str(tmp_path / "in"), gpu=True, probe=_probe).orderBy("start_frame")
+    plan = curation.plan_videos(spark, str(tmp_path / "in"), gpu=True, probe=probe).orderBy("start_frame")
     got = [(r.path.rsplit("/", 1)[1], r.route, r.frames, r.start_frame, r.first_file) for r in plan.collect()]
     assert got == [("a.MOV", "gpu", 25, 1, "00000000001.jpg"), ("z.mp4", "gpu", 25, 26, "00000000026.jpg"), ("broken.avi", "cpu", None, 51, "00000000051.jpg")]
-    done = sinks.extract_frames(plan, str(tmp_path / "out"), _command)
+    done = sinks.extract_frames(plan, str(tmp_path / "out"), command)
     found = {r.path.rsplit("/", 1)[1]: (r.frames, r.ok, r.error) for r in done.collect()}
     assert found["a.MOV"] == found["z.mp4"] == (25, True, None) and found["broken.avi"][:2] == (0, False) and "no video" in found["broken.avi"][2]
     again = video.failed(plan, done.filter("ok"), "path").collect()
