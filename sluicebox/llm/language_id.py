@@ -36,9 +36,9 @@ def codes(text: str | None) -> np.ndarray:
         return np.empty(0, np.uint32)
     points = np.where(letter, points, np.uint32(32))
     keep = letter.copy()
-    keep[0] = True
     keep[1:] |= letter[:-1]
-    return np.concatenate(([32], points[keep], [32])).astype(np.uint32)
+    kept = points[keep]
+    return np.concatenate(([32], kept if kept[-1] != 32 else kept[:-1], [32])).astype(np.uint32)
 
 
 def buckets(points: np.ndarray, orders: tuple[int, ...], bits: int) -> np.ndarray:

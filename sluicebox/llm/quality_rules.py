@@ -123,13 +123,14 @@ class Fit:
         return 1 / sum(odds, F.lit(1.0))
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: list[str], rounds: int = 40, right: float = 0.75) -> Fit:
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: list[str], rounds: int = 40, right: float = 0.75, smooth: float = 0.01) -> Fit:
     """Expectation-maximisation over counted vote patterns.
 
     Junk is of many kinds that set off different rules, so one class of bad documents would learn the commonest
     kind only; here each rule has a class of its own. Before the first round a bad vote counts as right with
     probability `right`, two or more with 0.95; agreement between rules then moves these accuracies. Tables are
-    smoothed by one document per cell, and the good class casts no rule's bad vote more often than that rule's own
+    smoothed by a hundredth of a document per cell (more would, round by round, draw rare kinds of junk to the good
+    class), and the good class casts no rule's bad vote more often than that rule's own
     class does. Without documents every class votes alike and the quality is the share of the good class.
     """
     k = len(rules) + 1
@@ -140,7 +141,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: list[str], roun
         wrong = (1 - right if len(fired) == 1 else 0.05) if fired else 0.99
         held.append([wrong if c == 0 else (1 - wrong) / len(fired) if c in fired else 0.0 if fired else 0.01 / len(rules) for c in range(k)])
     for _ in range(rounds if patterns else 0):
-        share, tables = [1.0] * k, [[[1.0] * 3 for _ in rules] for _ in range(k)]
+        share, tables = [smooth] * k, [[[smooth] * 3 for _ in rules] for _ in range(k)]
         for (votes, n), h in zip(patterns, held):
             for c in range(k):
                 share[c] += n * h[c]
