@@ -1,49 +1,19 @@
-"""What the operators of this subpackage share: parked tables, joins behind a size check, words, lets."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluicebox.storage import park
+
+__all__ = ["MOST_IDS", "SPACES", "WORD", "let", "park", "word_count"]
+
 #: Most ids that are sent to every executor; beyond it the join shuffles. 2M longs make a relation of some 32 MB.
 MOST_IDS = 2_000_000
 #: The characters that separate words.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
-GAP = r"[\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see. Where it is unset a local session gets
-    one of its own; a cluster has to name it."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sluicebox-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def park(df: DataFrame, label: str) -> DataFrame:
-    """The rows of df as a Parquet table in the shared folder, read again. It cuts the lineage, survives lost
-    executors and gives later joins a scan below their own exchange, which adaptive execution can split."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sluicebox/{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def with_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
-    """left_semi or left_anti join of docs with a parked table of ids: broadcast while there are at most
-    MOST_IDS of them, a shuffled join beyond."""
-    few = ids.limit(MOST_IDS + 1).count() <= MOST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, id_col, how)
 
 
 def let(value: Column, use) -> Column:
@@ -54,10 +24,3 @@ def let(value: Column, use) -> Column:
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
-
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that df doesn't have, in any case."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name

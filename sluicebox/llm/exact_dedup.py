@@ -23,7 +23,7 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
 
 
-def _filter_bits(rows: int, bits_per_row: int, max_bits: int) -> int:
+def filter_bits(rows: int, bits_per_row: int = 16, max_bits: int = 1 << 28) -> int:
     bits = BITMAP
     while bits < rows * bits_per_row and bits < max_bits:
         bits *= 2
@@ -34,6 +34,10 @@ def _positions(hash_col: Column, bits: int) -> list[Column]:
     return [F.pmod(hash_col, F.lit(bits)), F.pmod(F.xxhash64(hash_col, F.lit(7)), F.lit(bits))]
 
 
+def position_pair(hash_col: Column, bits: int) -> Column:
+    return F.array(*[p.cast("long") for p in _positions(hash_col, bits)])
+
+
 def _set_in(bitmap: Column, position: Column) -> Column:
     """Whether the bit of a position is set; false without a bitmap."""
     bit = F.pmod(position, F.lit(BITMAP))
@@ -42,13 +46,29 @@ def _set_in(bitmap: Column, position: Column) -> Column:
     return F.coalesce(shifted.bitwiseAND(F.lit(1)) == 1, F.lit(False))
 
 
+def _bitmaps(positions: DataFrame) -> DataFrame:
+    """(bucket, bitmap) of distinct positions p."""
+    return positions.groupBy(F.floor(F.col("p") / BITMAP).cast("long").alias("bucket")).agg(F.call_function("bitmap_construct_agg", F.pmod(F.col("p"), F.lit(BITMAP))).alias("bitmap"))
+
+
 def repeated_filter(hashes: DataFrame, hash_col: str, bits: int) -> DataFrame:
     """(bucket, bitmap) of the positions that two rows or more have set."""
-    twice = (
-        hashes.select(F.explode(F.array(*_positions(F.col(hash_col), bits))).alias("p"))
-        .groupBy("p").agg(F.count("*").alias("n")).filter("n > 1")
-    )
-    return twice.groupBy(F.floor(F.col("p") / BITMAP).cast("long").alias("bucket")).agg(F.call_function("bitmap_construct_agg", F.pmod(F.col("p"), F.lit(BITMAP))).alias("bitmap"))
+    twice = hashes.select(F.explode(position_pair(F.col(hash_col), bits)).alias("p")).groupBy("p").agg(F.count("*").alias("n"))
+    return _bitmaps(twice.filter("n > 1"))
+
+
+def filter_of(hashes: DataFrame, hash_col: str, bits: int) -> DataFrame:
+    """(bucket, bitmap) of the positions of all hashes."""
+    return _bitmaps(hashes.select(F.explode(position_pair(F.col(hash_col), bits)).alias("p")))
+
+
+def probed(rows: DataFrame, hash_col: str, maps: DataFrame, bits: int) -> DataFrame:
+    """rows with `maybe`: whether the filter holds both positions of the hash. The bitmaps have bits / 8 bytes at
+    most, so this broadcast is bounded whatever the input."""
+    for k, position in enumerate(_positions(F.col(hash_col), bits)):
+        side = F.broadcast(maps.select(F.col("bucket").alias(f"_b{k}"), F.col("bitmap").alias(f"_m{k}")))
+        rows = rows.join(side, F.floor(position / BITMAP).cast("long") == F.col(f"_b{k}"), "left").withColumn(f"_hit{k}", _set_in(F.col(f"_m{k}"), position)).drop(f"_b{k}", f"_m{k}")
+    return rows.withColumn("maybe", F.col("_hit0") & F.col("_hit1")).drop("_hit0", "_hit1")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_bits: int = 1 << 28) -> DataFrame:
@@ -62,16 +82,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sha = F.sha2(normalised(F.col(text_col)), 256)
     slim = docs.select(F.col(id_col).alias("id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"), F.unhex(sha).alias("sha"))
     slim = park(slim.withColumn("h", F.xxhash64("sha")), "hashes")
-    bits = _filter_bits(slim.count(), bits_per_row, max_bits)
+    bits = filter_bits(slim.count(), bits_per_row, max_bits)
     maps = park(repeated_filter(slim, "h", bits), "filter")
-    probed = slim
-    for k, position in enumerate(_positions(F.col("h"), bits)):
-        # The bitmaps hold max_bits / 8 bytes at most, so this broadcast is bounded whatever the input.
-        side = F.broadcast(maps.select(F.col("bucket").alias(f"b{k}"), F.col("bitmap").alias(f"m{k}")))
-        probed = probed.join(side, F.floor(position / BITMAP).cast("long") == F.col(f"b{k}"), "left").withColumn(f"hit{k}", _set_in(F.col(f"m{k}"), position)).drop(f"b{k}", f"m{k}")
-    maybe = F.col("hit0") & F.col("hit1")
-    single = probed.filter(~maybe).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha", "n")
-    rows = park(probed.filter(maybe).groupBy("sha", "id", "n").agg(F.count("*").alias("copies")), "possible")
+    tested = probed(slim, "h", maps, bits)
+    single = tested.filter("not maybe").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha", "n")
+    rows = park(tested.filter("maybe").groupBy("sha", "id", "n").agg(F.count("*").alias("copies")), "possible")
     best = rows.groupBy("sha").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("id").isNull().alias("none"), F.col("id").alias("id"))).alias("best"), F.sum("copies").alias("group_size"))
     best = park(best.select("sha", F.col("best.id").alias("keep_id"), (-F.col("best.n")).alias("keep_n"), "group_size"), "groups")
     # A written table on each side: the exchange of a hot text's rows is one that adaptive execution splits.

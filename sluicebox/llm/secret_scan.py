@@ -3,6 +3,9 @@
 Every version of a path is addressed by the SHA-256 of its text. The ledger holds, for each pair of blob and rule
 version, the spans found. Only pairs that the ledger doesn't hold are scanned, once per blob however many paths and
 versions carry it, and the findings of a blob are joined back to all of its paths.
+
+A Bloom filter of bounded size holds the blobs that several versions carry or that the ledger knows. Texts that miss
+it are scanned where they are read; only the others are joined with the one path that stands for their blob.
 """
 
 from __future__ import annotations
@@ -12,7 +15,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluicebox.llm.common import MOST_IDS, let, park
+from sluicebox.llm.common import let, park
+from sluicebox.llm.exact_dedup import filter_bits, probed, repeated_filter
+
+#: Most blobs of several versions whose paths are broadcast, some 20 MB; beyond it their texts shuffle to them.
+MOST_BLOBS = 100_000
 
 
 @dataclass(frozen=True)
@@ -95,22 +102,37 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     columns are not read.
     """
     version = rules_version(rules)
-    seen = park(versions(docs, path_col, text_col), "versions")
-    unseen = seen.groupBy("blob").agg(F.min("path").alias("path"))
-    if ledger is not None:
-        unseen = unseen.join(ledger.filter(F.col("rules") == version).select("blob"), "blob", "left_anti")
+    seen = park(versions(docs, path_col, text_col).withColumn("h", F.xxhash64("blob")), "versions")
+    known = None if ledger is None else ledger.filter(F.col("rules") == version).select("blob", "rules", "found")
+    hashes, rows = seen.select("h"), seen.count()
+    if known is not None:
+        before = known.select(F.xxhash64("blob").alias("h"))
+        hashes, rows = hashes.unionByName(before).unionByName(before), rows + 2 * known.count()
+    bits = filter_bits(rows)
+    maps = park(repeated_filter(hashes, "h", bits), "filter")
+    unseen = probed(seen, "h", maps, bits).filter("maybe").groupBy("blob").agg(F.min("path").alias("path"))
+    if known is not None:
+        unseen = unseen.join(known.select("blob"), "blob", "left_anti")
     unseen = park(unseen, "unseen")
-    few = unseen.limit(MOST_IDS + 1).count() <= MOST_IDS
-    pick = F.broadcast(unseen) if few else unseen
-    texts = docs.select(F.col(path_col).alias("_path"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    # One path stands for each blob. A path with several versions is told apart by the address itself.
-    todo = texts.join(pick, texts["_path"].eqNullSafe(pick["path"]) & (F.unhex(F.sha2(F.col("_text"), 256)) == pick["blob"]))
-    names = {r.kind: F.col(f"_{r.kind}") for r in rules}
-    todo = todo.select("blob", *[spans(F.col("_text"), r).alias(f"_{r.kind}") for r in rules])
-    new = todo.select("blob", F.lit(version).alias("rules"), _listed(rules, names, tuple(names)).alias("found"))
-    # A row that repeats path and text was scanned with its twin; blobs stay unique in the ledger.
-    new = park(new.groupBy("blob", "rules").agg(F.first("found").alias("found")), "ledger")
-    known = new if ledger is None else new.unionByName(ledger.filter(F.col("rules") == version).select("blob", "rules", "found"))
+    if unseen.limit(MOST_BLOBS + 1).count() <= MOST_BLOBS:
+        unseen = F.broadcast(unseen)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(path_col).alias("_path"), text.alias("_text"), F.unhex(F.sha2(text, 256)).alias("_blob"))
+    texts = probed(texts.withColumn("_h", F.xxhash64("_blob")), "_h", maps, bits)
+    # A blob that one version carries and the ledger doesn't know is certain to miss no scan here.
+    alone = texts.filter("not maybe").select(F.col("_blob").alias("blob"), "_text")
+    # One path stands for each of the others. A path with several versions is told apart by the address itself.
+    first = texts.filter("maybe").join(unseen, F.col("_path").eqNullSafe(F.col("path")) & (F.col("_blob") == F.col("blob"))).select("blob", "_text")
+
+    def scanned(rows: DataFrame) -> DataFrame:
+        names = {r.kind: F.col(f"_{r.kind}") for r in rules}
+        rows = rows.select("blob", *[spans(F.col("_text"), r).alias(f"_{r.kind}") for r in rules])
+        return rows.select("blob", F.lit(version).alias("rules"), _listed(rules, names, tuple(names)).alias("found"))
+
+    # A row that repeats path and text is scanned with its twin; blobs stay unique in the ledger.
+    new = scanned(alone).unionByName(scanned(first).groupBy("blob", "rules").agg(F.first("found").alias("found")))
+    new = park(new, "ledger")
+    known = new if known is None else new.unionByName(known)
     hits = park(known.filter(F.size("found") > 0).select("blob", "found"), "hits")
     empty = F.array().cast(hits.schema["found"].dataType)
     found = seen.join(hits, "blob", "left").select("path", "blob", F.coalesce("found", empty).alias("found"))
