@@ -10,6 +10,9 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 import numpy as np
+import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Channels out, kernel, stride of the first block, expansion and number of blocks of each stage.
@@ -182,9 +185,21 @@ def classified(images: np.ndarray, w: Weights, head: np.ndarray, bias: np.ndarra
 
 def features_udf(weights: dict[str, np.ndarray], side: int = SIDE, batch: int = 8):
     """Pooled features (array<float>) of columns of flattened images (3 * side * side floats)."""
-    from pyspark.ml.functions import predict_batch_udf
-
     def make():
         return lambda images: encode(images, weights)[-1].mean(axis=(2, 3)).astype(np.float32)
 
     return predict_batch_udf(make, return_type=T.ArrayType(T.FloatType()), batch_size=batch, input_tensor_shapes=[[3, side, side]])
+
+
+def stages_udf(weights: dict[str, np.ndarray], side: int = SIDE):
+    """array<struct<stage,shape,data>> of an image's eight outputs, from columns of flattened images."""
+
+    @F.pandas_udf("array<struct<stage:int,shape:array<int>,data:array<float>>>")
+    def udf(images: pd.Series) -> pd.Series:
+        rows = []
+        for image in images:
+            found = encode(np.asarray(image, np.float32).reshape(1, 3, side, side), weights)
+            rows.append([{"stage": k + 1, "shape": list(x.shape[1:]), "data": x.ravel().astype(np.float32).tolist()} for k, x in enumerate(found)])
+        return pd.Series(rows)
+
+    return udf.asNondeterministic()

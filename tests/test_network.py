@@ -52,5 +52,7 @@ def test_forward(spark):
     rows = spark.createDataFrame([(i, x.ravel().tolist()) for i, x in enumerate(images)], "id long, image array<float>")
     got = rows.select("id", net.features_udf(weights, 64)("image").alias("f")).orderBy("id").collect()
     assert np.allclose([r.f for r in got], found[-1].mean(axis=(2, 3)), atol=1e-4)
+    outputs = rows.filter("id = 0").select(net.stages_udf(weights, 64)("image").alias("s")).first().s
+    assert [x.shape for x in outputs] == [list(x.shape[1:]) for x in found] and np.allclose(outputs[7].data, found[7][0].ravel(), atol=1e-4)
     names = spark.createDataFrame([(n, list(map(int, s))) for n, s in net.manifest() if "running" not in n], "name string, shape array<int>")
     assert training.encoder_parameters(names).agg(F.sum("size")).first()[0] == 7_142_848
