@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from sluicebox.storage import park
 
-__all__ = ["MOST_IDS", "SPACES", "WORD", "let", "park", "word_count"]
+__all__ = ["MOST_IDS", "SPACES", "WORD", "batches_of", "let", "park", "word_count"]
 
 #: Most ids that are sent to every executor; beyond it the join shuffles. 2M longs make a relation of some 32 MB.
 MOST_IDS = 2_000_000
@@ -24,3 +27,15 @@ def let(value: Column, use) -> Column:
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows at most for what is parked inside: both the JVM and the Python worker of a task
+    hold a batch whole, and rows of whole texts or sets are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -4,7 +4,7 @@ import re
 import pytest
 
 from sluicebox.llm.graph import components
-from sluicebox.llm.ngram_join import ngram_join, shingles
+from sluicebox.llm.ngram_join import ngram_join, overlap_bound, shingles, signature
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -81,6 +81,15 @@ def test_shingles():
     assert (shingles("A b C d", 4) == shingles("a\nB  c D", 4)).all()
 
 
+def test_signature_bounds_overlap():
+    rng = random.Random(9)
+    for _ in range(200):
+        words = [f"w{rng.randrange(300)}" for _ in range(rng.randint(1, 400))]
+        p = shingles(" ".join(words[: rng.randint(1, len(words))]), 3)
+        q = shingles(" ".join(words[rng.randrange(len(words)) :]), 3)
+        assert len(p) >= overlap_bound(len(p), signature(p), len(q), signature(q)) >= len(set(p) & set(q))
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 40)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]
