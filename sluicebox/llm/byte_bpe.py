@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluicebox.llm.common import small_batches
+
 LEAF = 1 << 14
 #: Rows in an output batch, which bounds what a Python worker holds besides its input batch.
 ROWS = 256
@@ -116,6 +118,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     empty text has no ids. Strings of special tokens are ordinary text. Only id and text are read; the id passes
     through. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
     names = [id_col, "n_tokens", "ids", "decoded"]
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sluicebox.storage import park
 
-__all__ = ["MOST_IDS", "SPACES", "WORD", "batches_of", "let", "park", "word_count"]
+__all__ = ["MOST_IDS", "SPACES", "WORD", "batches_of", "let", "park", "small_batches", "word_count"]
 
 #: Most ids that are sent to every executor; beyond it the join shuffles. 2M longs make a relation of some 32 MB.
 MOST_IDS = 2_000_000
@@ -28,14 +28,23 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lower the session's Arrow batches to so many rows and 16 MB at most. The JVM and the Python worker of a task
+    both hold a batch whole, several times over while it is converted, and rows of whole texts are large."""
+    before = int(spark.conf.get(_ROWS))
+    spark.conf.set(_ROWS, str(rows if before <= 0 else min(rows, before)))
+    spark.conf.set(_BYTES, "16m")
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of so many rows at most for what is parked inside: both the JVM and the Python worker of a task
-    hold a batch whole, and rows of whole texts or sets are large."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    """The same with fewer rows for what is parked inside, whose rows are larger still."""
+    before = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(_ROWS, before)

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluicebox.llm.common import small_batches
+
 #: n-grams that are looked up at once, which bounds the memory that a very long text takes.
 SLICE = 1 << 20
 
@@ -89,6 +91,7 @@ def held_out(id_col: Column) -> Column:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 3000, orders: tuple[int, ...] = (1, 2, 3), bits: int = 16) -> Model:
     """Learn from rows with a language that aren't held out. per_language bounds the sample, not the languages."""
+    small_batches(docs.sparkSession)
     usable = docs.filter(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)))
     sizes = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}
     names = sorted(sizes)
@@ -122,6 +125,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     scores go to the language that comes first by code point. Only the id and the text are read; the id passes
     through. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     slim = docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("_text"))
 

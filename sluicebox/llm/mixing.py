@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from sluicebox.llm.common import WORD, park, word_count
+from sluicebox.llm.common import WORD, park, small_batches, word_count
 
 #: Positions are summed within chunks of the order first and then over the chunks: of about so many documents, but
 #: no more chunks than MOST_CHUNKS, since one task sums over a source's chunks.
@@ -183,6 +183,7 @@ class Mix:
         """The mix as rows with the columns of docs: a document that is taken k times gives k rows, each with the
         words that its blocks contribute to that round; a round that has all of its words has its text unchanged,
         and one that has a part of them has those words joined by spaces."""
+        small_batches(self.spark, 500)
         docs, key = self.docs, ["_id", "_h"]
         runs = self.pieces.groupBy("sid", "start").agg(F.sort_array(F.collect_list(F.struct("word", "n", "times", "part"))).alias("runs"))
         runs = self.rows.filter("size > 0").join(runs, ["sid", "start"]).select(F.col("id").alias("_id"), F.col("h").alias("_h"), "size", "runs")

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluicebox.llm.common import MOST_IDS, batches_of, park
+from sluicebox.llm.common import MOST_IDS, batches_of, park, small_batches
 from sluicebox.llm.exact_dedup import BITMAP, filter_bits, filter_of, position_pair
 from sluicebox.llm.graph import components
 
@@ -40,8 +40,8 @@ CHUNK = 1 << 21
 #: Most repeated shingles that order the others; beyond it only the commonest are told apart. It bounds what is
 #: broadcast and changes no result.
 MOST_COMMON = 1 << 19
-#: Rows in a batch of texts, and of pairs of sets.
-TEXTS, PAIRS = 1000, 128
+#: Rows in a batch of pairs of sets.
+PAIRS = 128
 #: Most candidate sets whose ids are broadcast to find their signatures.
 MOST_SIGNED = 500_000
 #: Most documents with candidates whose ids are broadcast to find their texts again, some 20 MB.
@@ -133,8 +133,7 @@ def common_shingles(docs: DataFrame, text_col: str, k: int) -> Order:
             yield flush()
 
     seen = docs.select(F.col(text_col).alias("_text")).mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    with batches_of(docs.sparkSession, TEXTS):
-        seen = park(seen.withColumn("level", F.floor(F.log2("n")).cast("int")), "common")
+    seen = park(seen.withColumn("level", F.floor(F.log2("n")).cast("int")), "common")
     room, least = MOST_COMMON, 64
     for level, n in sorted(seen.groupBy("level").count().collect(), reverse=True):
         if n > room:
@@ -152,6 +151,7 @@ class NgramJoin:
         link, and groups() the components. Null texts and texts without words have no shingles and link with
         nothing. Rows that repeat are documents of their own with equal sets. Other columns are not read."""
         self.docs, self.id_col, self.text_col, self.k, self.num, self.den = docs, id_col, text_col, k, num, den
+        small_batches(docs.sparkSession)
         self.nodes = self._nodes()
         # Copies are the rows whose set an earlier row has.
         full = self.nodes.filter("n > 0").select("row", "print")
@@ -187,8 +187,7 @@ class NgramJoin:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary()), lists], names=["id", "text_hash", "n", "print", "sig", "prefix"])
 
         schema = T.StructType([*slim.schema[:2], T.StructField("n", T.LongType()), T.StructField("print", T.BinaryType()), T.StructField("sig", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
-        with batches_of(self.docs.sparkSession, TEXTS):
-            return park(slim.mapInArrow(measure, schema).withColumn("row", F.monotonically_increasing_id()), "documents")
+        return park(slim.mapInArrow(measure, schema).withColumn("row", F.monotonically_increasing_id()), "documents")
 
     def _tiles(self) -> None:
         """`entries`: (s, node, n, pos, band, early) for prefix shingles that several sets have, and for a few more
@@ -280,8 +279,7 @@ class NgramJoin:
                     found = [shingles(t, k).view(np.int64) for t in part.column(1).to_pylist()]
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "items"])
 
-        with batches_of(self.docs.sparkSession, TEXTS):
-            return park(texts.mapInArrow(compute, "node long, items array<long>"), "contents")
+        return park(texts.mapInArrow(compute, "node long, items array<long>"), "contents")
 
     def _signed(self, pairs: DataFrame) -> DataFrame:
         """The pairs that their signatures let pass."""

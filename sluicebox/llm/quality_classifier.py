@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluicebox.llm.common import MOST_IDS, park
+from sluicebox.llm.common import MOST_IDS, park, small_batches
 from sluicebox.llm.quality_rules import FUNCTION_WORDS, SYMBOLS
 
 #: Quantiles of the training sample at which each measure is cut into bins.
@@ -91,6 +91,7 @@ class Scorecard:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 20_000) -> Scorecard:
     """Learn from labelled documents that have words. sample bounds the labels used, picked by a hash of the id;
     rows without a label or an id aren't used, and an id with several labels has their mean."""
+    small_batches(docs.sparkSession)
     usable = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_good"))
     n, unit = usable.count(), 1 << 30
     usable = usable.filter(F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(unit)) < min(unit, unit * sample // max(1, n) + 1)).groupBy("_id").agg(F.avg("_good").alias("_good"))
@@ -133,6 +134,7 @@ def classify(docs: DataFrame, model: Scorecard, id_col: str = "doc_id", text_col
     """
     host, path = F.col("source") if host is None else host, F.col("lang") if path is None else path
     slim = docs.select(F.col(id_col), host.cast("string").alias("_host"), path.cast("string").alias("_path"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("_text"))
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
