@@ -23,17 +23,30 @@ def statistics(df: DataFrame, group: list[str], metrics: list[str]) -> DataFrame
     return side.join(mads, [F.col(g).eqNullSafe(F.col(names[g])) for g in group]).drop(*names.values())
 
 
+#: Rows that are sorted to find a median; brackets with more are narrowed first.
+MOST_SORTED = 100_000
+
+
 def global_median(df: DataFrame, value: Column) -> float | None:
-    """The exact median of a column of any size: an approximate percentile brackets it, one pass counts what lies
-    below the bracket, and only the middle ranks inside it are sorted."""
+    """The exact median of a column of any size; null and NaN don't count. Approximate percentiles bracket the
+    middle ranks, a pass counts what lies below the bracket, and brackets are narrowed until few rows are left to
+    sort. Only counts and those rows reach the driver."""
     rows = df.select(value.cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    low, high, n = rows.agg(F.percentile_approx("v", 0.499, 10_000), F.percentile_approx("v", 0.501, 10_000), F.count("*")).first()
+    n = rows.count()
     if not n:
         return None
-    below, inside = rows.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v").between(low, high))).first()
-    ranks = [(n - 1) // 2, n // 2]
-    if not (below <= ranks[0] and ranks[1] < below + inside):
-        low, high, below = float("-inf"), float("inf"), 0
+    ranks = ((n - 1) // 2, n // 2)
+    low, high, below, inside = float("-inf"), float("inf"), 0, n
+    while inside > MOST_SORTED and low < high:
+        here = rows.filter(F.col("v").between(low, high))
+        share = [min(1.0, max(0.0, (ranks[0] - below) / inside - 0.001)), min(1.0, (ranks[1] - below) / inside + 0.001)]
+        left, right = here.agg(F.percentile_approx("v", share[0], 10_000), F.percentile_approx("v", share[1], 10_000)).first()
+        under, between = here.agg(F.count_if(F.col("v") < left), F.count_if(F.col("v").between(left, right))).first()
+        if between == inside or not (below + under <= ranks[0] and ranks[1] < below + under + between):
+            break
+        low, high, below, inside = left, right, below + under, between
+    if low == high:
+        return low
     counts = rows.filter(F.col("v").between(low, high)).groupBy("v").count().orderBy("v")
     found, seen = [], below
     for v, c in counts.toLocalIterator():
@@ -45,6 +58,17 @@ def global_median(df: DataFrame, value: Column) -> float | None:
     return (found[0] + found[1]) / 2
 
 
+def global_verdicts(df: DataFrame, directions: dict[str, bool], k: float = 3.0) -> DataFrame:
+    """verdicts() over all rows as one group of any size: a projection with two medians per metric as constants."""
+    for metric, higher in directions.items():
+        value = _value(metric)
+        med = global_median(df, value)
+        mad = global_median(df, F.abs(value - F.lit(med))) if med is not None else None
+        kept = F.lit(None).cast("boolean") if med is None else F.lit(True) if mad == 0 else value >= med - k * mad if higher else value <= med + k * mad
+        df = df.withColumn(f"keep_{metric}", F.when(value.isNotNull(), kept)).withColumn(f"bad_{metric}", ~F.col(f"keep_{metric}"))
+    return df
+
+
 def verdicts(df: DataFrame, group: list[str], directions: dict[str, bool], k: float = 3.0) -> DataFrame:
     """df with keep_<metric> and bad_<metric> for each metric; directions tells whether higher is better.
 

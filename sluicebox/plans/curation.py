@@ -33,6 +33,10 @@ def scored(spark: SparkSession, folder: str, catalog: DataFrame) -> DataFrame:
     return rows.select("batch", "idx", "path", "name", "s.*")
 
 
+def _rated(rows: DataFrame, batch: int | None, k: float) -> DataFrame:
+    return robust.verdicts(rows, ["batch"], DIRECTIONS, k) if batch else robust.global_verdicts(rows, DIRECTIONS, k)
+
+
 def curate(spark: SparkSession, folder: str, threshold: int = 14, queue: int = 10, batch: int | None = 100_000, k: float = 3.0) -> DataFrame:
     """The manifest of an image folder: every listed image with phash, scores, verdicts and what became of it
     (unreadable, duplicate, outlier, kept). Only survivors of deduplication are scored, and the four verdicts are
@@ -42,7 +46,7 @@ def curate(spark: SparkSession, folder: str, threshold: int = 14, queue: int = 1
     hashes = park(hashed(spark, folder, catalog), "hashes")
     left = park(sequence.fifo_dedup(hashes, "batch", "idx", "phash", threshold, queue).select("idx"), "survivors")
     survivors = catalog.join(left, "idx", "left_semi")
-    rated = robust.verdicts(park(scored(spark, folder, survivors), "scores"), ["batch"], DIRECTIONS, k)
+    rated = _rated(park(scored(spark, folder, survivors), "scores"), batch, k)
     names = list(DIRECTIONS)
     rated = rated.select("idx", *names, *[f"keep_{m}" for m in names], robust.all_kept(names).alias("keep"))
     out = catalog.join(hashes.select("idx", "phash"), "idx", "left").join(rated, "idx", "left")
@@ -53,7 +57,7 @@ def curate(spark: SparkSession, folder: str, threshold: int = 14, queue: int = 1
 def bad_frames(spark: SparkSession, folder: str, batch: int | None = 100_000, k: float = 3.0) -> DataFrame:
     """The images that any verdict calls bad, over all that can be decoded, with scores and verdicts."""
     catalog = park(media.image_catalog(spark, folder, batch or 1 << 62), "catalog")
-    rated = robust.verdicts(park(scored(spark, folder, catalog), "scores"), ["batch"], DIRECTIONS, k)
+    rated = _rated(park(scored(spark, folder, catalog), "scores"), batch, k)
     return rated.filter(robust.any_bad(list(DIRECTIONS)))
 
 

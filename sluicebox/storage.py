@@ -24,11 +24,21 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/sluicebox/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what this application has parked. DataFrames that operators returned can't be read afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def park(df: DataFrame, label: str) -> DataFrame:
     """The rows of df as a Parquet table in the shared folder, read again. It cuts the lineage, survives lost
     executors and gives later joins a scan below their own exchange, which adaptive execution can split."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sluicebox/{uuid.uuid4().hex}/{label}"
+    path = f"{_own(spark)}/{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

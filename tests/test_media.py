@@ -62,6 +62,8 @@ def test_curate(spark, folder, tmp_path):
     # A new batch begins with an empty queue.
     again = curation.curate(spark, str(folder), threshold=10, batch=3)
     assert again.filter("fate in ('kept', 'outlier')").count() > 10
+    whole = {r.name: (r.fate, r.keep) for r in curation.curate(spark, str(folder), threshold=10, batch=None).collect()}
+    assert whole == {n: (r.fate, r.keep) for n, r in got.items()}
     bad = curation.bad_frames(spark, str(folder))
     assert [r.name for r in bad.collect()].count("colo_100.PNG") == 1
     sinks.write_manifest(made.filter("keep"), str(tmp_path / "manifest"), "batch")

@@ -8,8 +8,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from sluicebox import storage
 from sluicebox.functions import numeric, pixels, text
 from sluicebox.operators import review, robust, sequence, training, video
 from sluicebox.storage import global_index, running_total
@@ -122,6 +124,26 @@ def test_global_median(spark, values):
     assert got == (float(np.median(values)) if values else None) or math.isclose(got, np.median(values))
 
 
+def test_global_verdicts(spark, monkeypatch):
+    monkeypatch.setattr(robust, "MOST_SORTED", 50)
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.normal(size=3000).round(3), [50.0, -50.0, float("nan")]])
+    df = spark.createDataFrame([(0, float(v), float(-v)) for v in values], "g int, v double, w double")
+    assert robust.global_median(df, F.col("v")) == float(np.median(values[:-1]))
+    sides = {"v": True, "w": False}
+    key = lambda r: (str(r.v), r.keep_v, r.bad_v, r.keep_w, r.bad_w)
+    assert sorted(map(str, map(key, robust.global_verdicts(df, sides).collect()))) == sorted(map(str, map(key, robust.verdicts(df, ["g"], sides).collect())))
+    assert robust.global_verdicts(df.limit(0), sides).collect() == []
+
+
+def test_clean(spark):
+    kept = storage.park(spark.range(3), "x")
+    assert kept.count() == 3
+    storage.clean(spark)
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(kept.inputFiles()[0]).count()
+
+
 def press(spark, pressed):
     df = spark.createDataFrame([(1, i, a) for i, a in enumerate(pressed)], "s long, i long, a string")
     return review.decisions(df, "s", F.col("a"), F.col("i"))
