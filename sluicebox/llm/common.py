@@ -12,8 +12,8 @@ from sluicebox.storage import park
 
 __all__ = ["MOST_IDS", "SPACES", "WORD", "batches_of", "let", "park", "small_batches", "word_count"]
 
-#: Most ids that are sent to every executor; beyond it the join shuffles. 2M longs make a relation of some 32 MB.
-MOST_IDS = 2_000_000
+#: Most keys of a few numbers that are sent to every executor, some 50 MB as a hash relation; beyond it joins shuffle.
+MOST_IDS = 500_000
 #: The characters that separate words.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"

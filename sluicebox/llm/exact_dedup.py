@@ -102,8 +102,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     verdicts = exact_groups(docs, id_col, text_col).filter("group_size > 1")
     keys = park(verdicts.groupBy(F.col(id_col).alias("_id"), F.col("text_length").alias("_len"), F.col("text_sha256").alias("_sha")).agg(F.max("kept").alias("_stays"), F.count("*").alias("_rows")), "verdicts")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    off = keys.filter(~F.col("_stays") | (F.col("_rows") > 1))
-    few = off.limit(MOST_IDS + 1).count() <= MOST_IDS
+    off = keys.filter(~F.col("_stays") | (F.col("_rows") > 1)).select("_id", "_len", "_sha")
+    few = off.limit(MOST_IDS // 4 + 1).count() <= MOST_IDS // 4  # keys with a hash as text
     here = [docs[id_col].eqNullSafe(F.col("_id")), F.length(text) == F.col("_len"), F.sha2(normalised(text), 256) == F.col("_sha")]
     plain = docs.join(F.broadcast(off) if few else off, here, "left_anti")
     again = keys.filter(F.col("_stays") & (F.col("_rows") > 1))

@@ -366,7 +366,7 @@ class NgramJoin:
         keys = park(rows.groupBy("_id", "_hash").agg(F.max("leads").alias("_stays"), F.count("*").alias("_rows"), F.max("n").alias("_n")), "verdicts")
         text = self.docs[self.text_col]
         here = self.docs[self.id_col].eqNullSafe(F.col("_id")) & F.xxhash64(text).eqNullSafe(F.col("_hash"))
-        off = keys.filter(~F.col("_stays") | ((F.col("_rows") > 1) & (F.col("_n") > 0)))
+        off = keys.filter(~F.col("_stays") | ((F.col("_rows") > 1) & (F.col("_n") > 0))).select("_id", "_hash")
         few = off.limit(MOST_IDS + 1).count() <= MOST_IDS
         plain = self.docs.join(F.broadcast(off) if few else off, here, "left_anti")
         again = keys.filter(F.col("_stays") & (F.col("_rows") > 1) & (F.col("_n") > 0))
