@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 
 
@@ -12,15 +13,40 @@ def _value(metric: str) -> Column:
     return F.when(~F.isnan(F.col(metric).cast("double")), F.col(metric).cast("double"))
 
 
-def statistics(df: DataFrame, group: list[str], metrics: list[str]) -> DataFrame:
-    """One row per group: med_<metric> and mad_<metric>, exact. Two aggregations with partial sums; a group is a
-    batch, whose size bounds the buffers of the exact median. For one group of any size see global_median."""
-    medians = df.groupBy(*group).agg(*[F.median(_value(m)).alias(f"med_{m}") for m in metrics])
+def _exact(rows: DataFrame, group: list[str], values: dict[str, Column]) -> DataFrame:
+    return rows.groupBy(*group).agg(*[F.median(v).alias(n) for n, v in values.items()])
+
+
+def _bracketed(rows: DataFrame, group: list[str], values: dict[str, Column]) -> DataFrame:
+    """Exact medians of groups of any size: per group, approximate percentiles (whose buffers are bounded) bracket
+    the middle ranks, counts place the bracket, and only the values inside, a few thousandths, are ordered."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("m"), v.alias("v")) for n, v in values.items()]))
+    long = rows.select(F.struct(*group).alias("g"), each.alias("e")).select("g", "e.m", "e.v").filter("v is not null")
+    guess = long.groupBy("g", "m").agg(F.percentile_approx("v", F.array(F.lit(0.499), F.lit(0.501)), 10_000).alias("b"), F.count("*").alias("n"))
+    near = long.join(guess.select(F.col("g").alias("_g"), F.col("m").alias("_m"), F.col("b")[0].alias("low"), F.col("b")[1].alias("high"), "n"), F.col("g").eqNullSafe(F.col("_g")) & (F.col("m") == F.col("_m"))).drop("_g", "_m")
+    below = near.filter("v < low").groupBy("g", "m").agg(F.count("*").alias("below"))
+    inside = near.filter("v between low and high").groupBy("g", "m", "n", "v").agg(F.count("*").alias("c"))
+    inside = inside.join(below.select(F.col("g").alias("_g"), F.col("m").alias("_m"), "below"), F.col("g").eqNullSafe(F.col("_g")) & (F.col("m") == F.col("_m")), "left").drop("_g", "_m")
+    upto = F.coalesce("below", F.lit(0)) + F.sum("c").over(W.partitionBy("g", "m").orderBy("v"))
+    ranked = inside.withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("c"))
+    middle = lambda r: F.max(F.when((F.col("from") <= r) & (r < F.col("upto")), F.col("v")))
+    r0, r1 = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    found = ranked.groupBy("g", "m").agg(((middle(r0) + middle(r1)) / 2).alias("med"))
+    wide = found.groupBy("g").agg(*[F.max(F.when(F.col("m") == n, F.col("med"))).alias(n) for n in values])
+    keys = rows.select(F.struct(*group).alias("_g")).distinct()
+    return keys.join(wide, F.col("g").eqNullSafe(F.col("_g")), "left").select("_g.*", *values)
+
+
+def statistics(df: DataFrame, group: list[str], metrics: list[str], large: bool = False) -> DataFrame:
+    """One row per group: med_<metric> and mad_<metric>, exact. Groups are batches whose size bounds the buffers of
+    the built-in median; with large, groups may have any size."""
+    medians = _bracketed if large else _exact
+    side = medians(df, group, {f"med_{m}": _value(m) for m in metrics})
     names = {g: f"_g_{g}" for g in group}
-    side = medians.withColumnsRenamed(names)
-    near = df.join(side, [F.col(g).eqNullSafe(F.col(names[g])) for g in group])
-    mads = near.groupBy(*group).agg(*[F.median(F.abs(_value(m) - F.col(f"med_{m}"))).alias(f"mad_{m}") for m in metrics])
-    return side.join(mads, [F.col(g).eqNullSafe(F.col(names[g])) for g in group]).drop(*names.values())
+    same = [F.col(g).eqNullSafe(F.col(names[g])) for g in group]
+    side = side.withColumnsRenamed(names)
+    mads = medians(df.join(side, same), group, {f"mad_{m}": F.abs(_value(m) - F.col(f"med_{m}")) for m in metrics})
+    return side.join(mads, same).drop(*names.values())
 
 
 #: Rows that are sorted to find a median; brackets with more are narrowed first.
@@ -69,13 +95,13 @@ def global_verdicts(df: DataFrame, directions: dict[str, bool], k: float = 3.0)
     return df
 
 
-def verdicts(df: DataFrame, group: list[str], directions: dict[str, bool], k: float = 3.0) -> DataFrame:
+def verdicts(df: DataFrame, group: list[str], directions: dict[str, bool], k: float = 3.0, large: bool = False) -> DataFrame:
     """df with keep_<metric> and bad_<metric> for each metric; directions tells whether higher is better.
 
     Kept are values at or above median - k * MAD, or at or below median + k * MAD. With a MAD of 0 every value is
-    kept and none is bad. Missing values have null verdicts.
+    kept and none is bad. Missing values have null verdicts. large: see statistics().
     """
-    stats = statistics(df, group, list(directions))
+    stats = statistics(df, group, list(directions), large)
     names = {g: f"_g_{g}" for g in group}
     out = df.join(stats.withColumnsRenamed(names), [F.col(g).eqNullSafe(F.col(names[g])) for g in group], "left").drop(*names.values())
     for metric, higher in directions.items():

@@ -18,7 +18,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mad_reject_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated = robust.verdicts(_events(spark, sf_dir).select("event_id", "event_type", "value"), ["event_type"], {"value": False})
+    rated = robust.verdicts(_events(spark, sf_dir).select("event_id", "event_type", "value"), ["event_type"], {"value": False}, large=True)
     return rated.filter("bad_value").select("event_id", "event_type")
 
 

@@ -144,6 +144,14 @@ def test_clean(spark):
         spark.read.parquet(kept.inputFiles()[0]).count()
 
 
+def test_large_groups(spark):
+    rng = np.random.default_rng(8)
+    rows = [(g, float(v), None if i % 7 == 0 else float(w)) for g, n in (("a", 30_001), ("b", 10), (None, 500), ("one", 1)) for i, (v, w) in enumerate(zip(rng.normal(size=n).round(2), rng.exponential(size=n)))]
+    df = spark.createDataFrame(rows + [("none", None, None), ("nan", float("nan"), 1.0)], "g string, v double, w double")
+    plain, large = (sorted(map(str, robust.statistics(df, ["g"], ["v", "w"], big).select("g", "med_v", "med_w", "mad_v", "mad_w").collect())) for big in (False, True))
+    assert plain == large and len(plain) == 6
+
+
 def press(spark, pressed):
     df = spark.createDataFrame([(1, i, a) for i, a in enumerate(pressed)], "s long, i long, a string")
     return review.decisions(df, "s", F.col("a"), F.col("i"))
