@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicebox.storage import park
 
-__all__ = ["MOST_IDS", "SPACES", "WORD", "batches_of", "let", "park", "small_batches", "word_count"]
+__all__ = ["MOST_IDS", "SPACES", "WORD", "batches_of", "fresh", "let", "park", "small_batches", "word_count"]
 
 #: Most keys of a few numbers that are sent to every executor, some 50 MB as a hash relation; beyond it joins shuffle.
 MOST_IDS = 500_000
@@ -24,6 +24,17 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that df has a column of."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

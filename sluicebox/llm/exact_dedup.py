@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluicebox.llm.common import MOST_IDS, SPACES, park
+from sluicebox.llm.common import MOST_IDS, SPACES, fresh, park
 
 BITMAP = 32768
 
@@ -99,14 +99,16 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of docs that stay, with all their columns. Rows that stay pass without a shuffle as long as the
     dropped keys are few enough to broadcast. A row is known by its id, length and hash, so repeated ids do no
     harm; of rows that repeat all three, one stays."""
+    name, size, sha, stays, rows = fresh(docs, "_id", "_len", "_sha", "_stays", "_rows")
     verdicts = exact_groups(docs, id_col, text_col).filter("group_size > 1")
-    keys = park(verdicts.groupBy(F.col(id_col).alias("_id"), F.col("text_length").alias("_len"), F.col("text_sha256").alias("_sha")).agg(F.max("kept").alias("_stays"), F.count("*").alias("_rows")), "verdicts")
+    keys = verdicts.groupBy(F.col(id_col).alias(name), F.col("text_length").alias(size), F.col("text_sha256").alias(sha))
+    keys = park(keys.agg(F.max("kept").alias(stays), F.count("*").alias(rows)), "verdicts")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    off = keys.filter(~F.col("_stays") | (F.col("_rows") > 1)).select("_id", "_len", "_sha")
+    off = keys.filter(~F.col(stays) | (F.col(rows) > 1)).select(name, size, sha)
     few = off.limit(MOST_IDS // 4 + 1).count() <= MOST_IDS // 4  # keys with a hash as text
-    here = [docs[id_col].eqNullSafe(F.col("_id")), F.length(text) == F.col("_len"), F.sha2(normalised(text), 256) == F.col("_sha")]
+    here = [F.col(id_col).eqNullSafe(F.col(name)), F.length(text) == F.col(size), F.sha2(normalised(text), 256) == F.col(sha)]
     plain = docs.join(F.broadcast(off) if few else off, here, "left_anti")
-    again = keys.filter(F.col("_stays") & (F.col("_rows") > 1))
+    again = keys.filter(F.col(stays) & (F.col(rows) > 1)).select(name, size, sha)
     if again.isEmpty():
         return plain
-    return plain.unionByName(docs.join(again, here, "inner").dropDuplicates(["_id", "_len", "_sha"]).select(docs.columns))
+    return plain.unionByName(docs.join(again, here).dropDuplicates([name, size, sha]).select(docs.columns))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from sluicebox.llm.common import WORD, park, small_batches, word_count
+from sluicebox.llm.common import WORD, fresh, park, small_batches, word_count
 
 #: Positions are summed within chunks of the order first and then over the chunks: of about so many documents, but
 #: no more chunks than MOST_CHUNKS, since one task sums over a source's chunks.
@@ -184,16 +184,16 @@ class Mix:
         words that its blocks contribute to that round; a round that has all of its words has its text unchanged,
         and one that has a part of them has those words joined by spaces."""
         small_batches(self.spark, 500)
-        docs, key = self.docs, ["_id", "_h"]
+        docs = self.docs
+        name, digest, own, all_ = fresh(docs, "_id", "_h", "_own", "_copies")
         runs = self.pieces.groupBy("sid", "start").agg(F.sort_array(F.collect_list(F.struct("word", "n", "times", "part"))).alias("runs"))
-        runs = self.rows.filter("size > 0").join(runs, ["sid", "start"]).select(F.col("id").alias("_id"), F.col("h").alias("_h"), "size", "runs")
+        runs = self.rows.filter("size > 0").join(runs, ["sid", "start"]).select(F.col("id").alias(name), F.col("h").alias(digest), "size", "runs")
         # Rows that repeat id and text share a key: their runs stand side by side, and one of them carries all.
-        runs = park(runs.groupBy(*key).agg(F.collect_list(F.struct("size", "runs")).alias("copies")), "runs")
-        texts = docs.withColumn("_h", F.xxhash64(F.col(self.text_col)))
-        if not runs.filter(F.size("copies") > 1).isEmpty():
-            texts = texts.dropDuplicates([self.id_col, "_h"])
-        both = texts.withColumnRenamed("_h", "_own").join(runs, F.col(self.id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_h")))
-        both = both.select(*docs.columns, "copies")
+        runs = park(runs.groupBy(name, digest).agg(F.collect_list(F.struct("size", "runs")).alias(all_)), "runs")
+        texts = docs.withColumn(own, F.xxhash64(F.col(self.text_col)))
+        if not runs.filter(F.size(all_) > 1).isEmpty():
+            texts = texts.dropDuplicates([self.id_col, own])
+        both = texts.join(runs, F.col(self.id_col).eqNullSafe(F.col(name)) & (F.col(own) == F.col(digest))).select(*docs.columns, all_)
         names, at = list(docs.columns), docs.columns.index(self.text_col)
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

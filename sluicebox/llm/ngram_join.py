@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluicebox.llm.common import MOST_IDS, batches_of, park, small_batches
+from sluicebox.llm.common import MOST_IDS, batches_of, fresh, park, small_batches
 from sluicebox.llm.exact_dedup import BITMAP, filter_bits, filter_of, position_pair
 from sluicebox.llm.graph import components
 
@@ -362,17 +362,20 @@ class NgramJoin:
     def first_of_each(self) -> DataFrame:
         """The rows of docs, with all their columns, of which one document of each component stays: that with the
         smallest id. Dropped rows are named by id and hash of the text; of rows that repeat both, one stays."""
-        rows = self.groups().select("row", "leads").join(self.nodes.select("row", F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "n"), "row")
-        keys = park(rows.groupBy("_id", "_hash").agg(F.max("leads").alias("_stays"), F.count("*").alias("_rows"), F.max("n").alias("_n")), "verdicts")
-        text = self.docs[self.text_col]
-        here = self.docs[self.id_col].eqNullSafe(F.col("_id")) & F.xxhash64(text).eqNullSafe(F.col("_hash"))
-        off = keys.filter(~F.col("_stays") | ((F.col("_rows") > 1) & (F.col("_n") > 0))).select("_id", "_hash")
+        docs = self.docs
+        name, digest, stays, copies, size = fresh(docs, "_id", "_hash", "_stays", "_rows", "_n")
+        rows = self.groups().select("row", "leads").join(self.nodes.select("row", "id", "text_hash", "n"), "row")
+        keys = rows.groupBy(F.col("id").alias(name), F.col("text_hash").alias(digest))
+        keys = park(keys.agg(F.max("leads").alias(stays), F.count("*").alias(copies), F.max("n").alias(size)), "verdicts")
+        here = F.col(self.id_col).eqNullSafe(F.col(name)) & (F.xxhash64(F.col(self.text_col)) == F.col(digest))
+        repeated = (F.col(copies) > 1) & (F.col(size) > 0)
+        off = keys.filter(~F.col(stays) | repeated).select(name, digest)
         few = off.limit(MOST_IDS + 1).count() <= MOST_IDS
-        plain = self.docs.join(F.broadcast(off) if few else off, here, "left_anti")
-        again = keys.filter(F.col("_stays") & (F.col("_rows") > 1) & (F.col("_n") > 0))
+        plain = docs.join(F.broadcast(off) if few else off, here, "left_anti")
+        again = keys.filter(F.col(stays) & repeated).select(name, digest)
         if again.isEmpty():
             return plain
-        return plain.unionByName(self.docs.join(again, here).dropDuplicates(["_id", "_hash"]).select(self.docs.columns))
+        return plain.unionByName(docs.join(again, here).dropDuplicates([name, digest]).select(docs.columns))
 
 
 def ngram_join(docs: DataFrame, **options) -> NgramJoin:

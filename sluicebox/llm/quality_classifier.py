@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluicebox.llm.common import MOST_IDS, park, small_batches
+from sluicebox.llm.common import MOST_IDS, fresh, park, small_batches
 from sluicebox.llm.quality_rules import FUNCTION_WORDS, SYMBOLS
 
 #: Quantiles of the training sample at which each measure is cut into bins.
@@ -96,7 +96,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n, unit = usable.count(), 1 << 30
     usable = usable.filter(F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(unit)) < min(unit, unit * sample // max(1, n) + 1)).groupBy("_id").agg(F.avg("_good").alias("_good"))
     # At most about `sample` rows by the filter above.
-    known = docs.join(F.broadcast(usable), F.col(id_col) == F.col("_id")).select("_good", F.col(text_col).alias("_text"))
+    texts = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text"))
+    known = texts.join(F.broadcast(usable), F.col("_key") == F.col("_id")).select("_good", "_text")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,7 +170,9 @@ def classify(docs: DataFrame, model: Scorecard, id_col: str = "doc_id", text_col
 def keep_good(docs: DataFrame, model: Scorecard, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that the classifier keeps, with all their columns. The rejected ones are named by id and
     hash of the text; while they are few enough to broadcast, the others don't shuffle."""
-    gone = classify(docs, model, id_col, text_col, **options).filter("not kept").select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    gone = park(gone, "rejected")
+    name, digest = fresh(docs, "_id", "_hash")
+    gone = classify(docs, model, id_col, text_col, **options).filter("not kept")
+    gone = park(gone.select(F.col(id_col).alias(name), F.col("text_hash").alias(digest)).distinct(), "rejected")
     few = gone.limit(MOST_IDS + 1).count() <= MOST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_hash")), "left_anti")
+    here = F.col(id_col).eqNullSafe(F.col(name)) & (F.xxhash64(F.col(text_col)) == F.col(digest))
+    return docs.join(F.broadcast(gone) if few else gone, here, "left_anti")
