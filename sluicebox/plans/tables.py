@@ -43,7 +43,7 @@ def mad_bad_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File names of several shapes, one per document."""
     n = F.col("doc_id").cast("string")
-    shapes = [F.concat(F.lit("colo_"), n, F.lit(".jpg")), F.concat(F.lit("img"), n, F.lit("b"), (F.col("doc_id") % 13).cast("string"), F.lit(".PNG")), F.concat(F.lit("a."), n, F.lit(".gif")), F.concat(F.lit("."), n), F.concat(F.lit("v"), n, F.lit(".Tiff"))]
+    shapes = [F.concat(F.lit("shot_"), n, F.lit(".jpg")), F.concat(F.lit("img"), n, F.lit("b"), (F.col("doc_id") % 13).cast("string"), F.lit(".PNG")), F.concat(F.lit("a."), n, F.lit(".gif")), F.concat(F.lit("."), n), F.concat(F.lit("v"), n, F.lit(".Tiff"))]
     name = F.element_at(F.array(*shapes), (F.col("doc_id") % 5 + 1).cast("int"))
     return table(spark, sf_dir, "documents").select("doc_id", name.alias("name"))
 
@@ -211,7 +211,7 @@ def _rated(rows: str, group: str, directions: dict[str, bool], k: int) -> str:
 
 _LINES = f"WITH k AS ({_rated('lineitem', 'l_returnflag', LINEITEM, 1)})"
 _ALL = " AND ".join(f"keep_{m}" for m in LINEITEM)
-_NAMES = """n AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'colo_' || doc_id || '.jpg' WHEN 1 THEN 'img' || doc_id || 'b' || doc_id % 13 || '.PNG'
+_NAMES = """n AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'shot_' || doc_id || '.jpg' WHEN 1 THEN 'img' || doc_id || 'b' || doc_id % 13 || '.PNG'
     WHEN 2 THEN 'a.' || doc_id || '.gif' WHEN 3 THEN '.' || doc_id ELSE 'v' || doc_id || '.Tiff' END AS name FROM documents),
     x AS (SELECT *, lower(regexp_extract(name, '[^.].*(\\.[^.]*)$', 1)) AS ext FROM n)"""
 _PROBES = """p AS (SELECT p_partkey, p_partkey AS k, concat_ws(', ',

@@ -27,10 +27,10 @@ def folder(tmp_path_factory):
     rng = np.random.default_rng(0)
     scenes = [np.kron(rng.integers(0, 256, (8, 8, 3)), np.ones((8, 8, 1))) for _ in range(9)]
     for i, scene in enumerate(scenes):
-        png(out / f"colo_{i * 2 + 1}.png", scene)
-        png(out / f"colo_{i * 2 + 2}.png", np.clip(scene + rng.integers(-2, 3, scene.shape), 0, 255))
-    png(out / "colo_100.PNG", np.full((64, 64), 90))
-    (out / "colo_5000.jpg").write_bytes(b"not an image")
+        png(out / f"shot_{i * 2 + 1}.png", scene)
+        png(out / f"shot_{i * 2 + 2}.png", np.clip(scene + rng.integers(-2, 3, scene.shape), 0, 255))
+    png(out / "shot_100.PNG", np.full((64, 64), 90))
+    (out / "shot_5000.jpg").write_bytes(b"not an image")
     (out / "notes.txt").write_text("x")
     (out / "sub").mkdir()
     png(out / "sub" / "deep.png", scenes[0])
@@ -39,7 +39,7 @@ def folder(tmp_path_factory):
 
 def test_catalog_and_pixels(spark, folder):
     got = media.image_catalog(spark, str(folder), batch=8).orderBy("idx").collect()
-    assert [r.name for r in got] == [f"colo_{i}.png" for i in range(1, 19)] + ["colo_100.PNG", "colo_5000.jpg"]
+    assert [r.name for r in got] == [f"shot_{i}.png" for i in range(1, 19)] + ["shot_100.PNG", "shot_5000.jpg"]
     assert [r.batch for r in got] == [i // 8 for i in range(20)]
     assert media.training_catalog(spark, str(folder)).count() == 21
     png(folder / "sub" / "rgb.png", np.array([[[200, 100, 7]]]))
@@ -51,12 +51,12 @@ def test_catalog_and_pixels(spark, folder):
 def test_curate(spark, folder, tmp_path):
     made = curation.curate(spark, str(folder), threshold=10)
     got = {r.name: r for r in made.collect()}
-    assert got["colo_5000.jpg"].fate == "unreadable" and len(got) == 20
+    assert got["shot_5000.jpg"].fate == "unreadable" and len(got) == 20
     # The second picture of each scene is a near copy of the first.
-    assert all(got[f"colo_{2 * i + 2}.png"].fate == "duplicate" for i in range(9))
-    assert all(got[f"colo_{2 * i + 1}.png"].fate in ("kept", "outlier") for i in range(9))
+    assert all(got[f"shot_{2 * i + 2}.png"].fate == "duplicate" for i in range(9))
+    assert all(got[f"shot_{2 * i + 1}.png"].fate in ("kept", "outlier") for i in range(9))
     # Without a detail anywhere, an image is an outlier among others.
-    assert got["colo_100.PNG"].fate == "outlier" and got["colo_100.PNG"].ghost == 0
+    assert got["shot_100.PNG"].fate == "outlier" and got["shot_100.PNG"].ghost == 0
     line = curation.report(made).first()
     assert (line.total, line.after_dedup) == (20, 10) and line.removal_pct == round((20 - line.retained) * 5, 2)
     # A new batch begins with an empty queue.
@@ -65,7 +65,7 @@ def test_curate(spark, folder, tmp_path):
     whole = {r.name: (r.fate, r.keep) for r in curation.curate(spark, str(folder), threshold=10, batch=None).collect()}
     assert whole == {n: (r.fate, r.keep) for n, r in got.items()}
     bad = curation.bad_frames(spark, str(folder))
-    assert [r.name for r in bad.collect()].count("colo_100.PNG") == 1
+    assert [r.name for r in bad.collect()].count("shot_100.PNG") == 1
     sinks.write_manifest(made.filter("keep"), str(tmp_path / "manifest"), "batch")
     kept = spark.read.parquet(str(tmp_path / "manifest"))
     status = sinks.copy_files(kept.select(media.plain_path(F.col("path")).alias("src"), F.concat(F.lit(f"{tmp_path}/out/"), "name").alias("dst")))
