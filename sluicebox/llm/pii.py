@@ -37,16 +37,31 @@ SYLLABLES = {
 }
 _TITLES = "|".join(sorted((*MALE, *FEMALE, *NEUTRAL), key=len, reverse=True))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-#: One pattern for all kinds, so that no two matches overlap. Every alternative begins at the start of a run.
+_IP = rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"
+_SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
+_CARD = r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])"
+_PHONE = r"\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}"
+#: A group of digits, and those that go on after it; none of them begins an address.
+_GROUP = r"\d++(?!-(?!\d))"
+_MORE = rf"(?:[ -](?!{_IP}){_GROUP})*+"
+#: One pattern for all kinds, so that no two matches overlap. Every alternative begins at the start of a run. Those for
+#: cards and for phones with a country code take all groups of digits that follow; _cut finds the entities in them.
 PATTERN = "|".join((
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}",
     r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}(?!\d)",
-    r"(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)",
-    rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
-    r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])",
+    rf"(?<![\d+]){_PHONE}(?!\d){_MORE}",
+    rf"(?<![\d.]){_IP}",
+    _SSN,
+    rf"(?<![\d.-])(?=\d(?:[ -]?\d){{12}}){_GROUP}{_MORE}",
     rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}\p{{L}}+(?:[ -]\p{{Lu}}\p{{L}}+){{0,2}}",
 ))
+#: What may be left in a run of digits beside the entities that _cut chooses.
+_REST = f"{_SSN}|{_CARD}"
+#: The layouts of cards in use.
+_LAYOUT = r"^(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}(?:[ -]\d{3})?|\d{4}[ -]\d{6}[ -]\d{4,5})$"
+#: How many digits follow the country code, where all or nearly all numbers have as many.
+NATIONAL = {"1": 10, "7": 10, "27": 9, "31": 9, "33": 9, "34": 9, "44": 10, "45": 8, "47": 8, "48": 9, "61": 9, "90": 10, "91": 10, "351": 9, "420": 9}
+_EXACT = "|".join(rf"{code}\d{{{n}}}" for code, n in NATIONAL.items())
 #: What every match holds; texts without it are not searched further.
 GATE = rf"[@\d]|{_TITLES}"
 
@@ -61,9 +76,63 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, x: a + x)
 
 
+def _is_card(digits: Column) -> Column:
+    return F.length(digits).between(13, 19) & digits.rlike("^[3-6]") & (_luhn(digits) % 10 == 0)
+
+
+def _pieces(text: Column, pattern: str) -> Column:
+    """The text in order as array of (s, hit): what lies between the matches, and the matches."""
+    piece = lambda s, hit: F.struct(s.alias("s"), F.lit(hit).alias("hit"))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    both = F.transform(F.split(text, pattern, -1), lambda gap, i: F.array(piece(gap, False), piece(F.get(found, i), True)))
+    return F.filter(F.flatten(both), lambda x: x["s"] != "")
+
+
+def _cut(raw: Column) -> Column:
+    """A match as array of (s, hit): itself, or for a run of groups of digits the entities that begin and end at its
+    separators and what lies between them.
+
+    First come cards in a layout in use, then the phone after a "+" that has its country's length, a run that is one
+    card whatever its layout, the longest phone after a "+", and cards of groups of three digits or more. Of each the
+    leftmost and there the longest, without overlaps. In what is left the patterns for single entities are tried."""
+    groups = F.regexp_extract_all(raw, F.lit(r"[ .-]?\+?\d+"), F.lit(0))
+
+    def chosen(groups: Column) -> Column:
+        plus, n = F.startswith(raw, F.lit("+")), F.size(groups)
+        joined = lambda a, b: F.array_join(F.slice(groups, a, b - a + 1), "")
+        window = lambda a, b: F.regexp_replace(joined(a, b), "^[ .-]", "")
+        digits = lambda s: F.regexp_replace(s, r"\D", "")
+        span = lambda rank, a, b: F.struct(rank.cast("int").alias("rank"), a.cast("int").alias("a"), (a - b).cast("int").alias("less"), b.cast("int").alias("b"))
+        none = F.filter(F.array(span(F.lit(0), F.lit(0), F.lit(0))), lambda x: x["rank"] > 0)
+
+        def phone(b: Column) -> Column:
+            rank = lambda s: F.when(s.rlike(f"^{_PHONE}$") & F.length(digits(s)).between(7, 15), F.when(digits(s).rlike(f"^(?:{_EXACT})$"), 1).otherwise(3))
+            return span(let(window(F.lit(1), b), rank), F.lit(1), b)
+
+        phones = F.when(plus, F.array_sort(F.filter(F.transform(F.sequence(F.lit(1), F.least(n, F.lit(8))), phone), lambda x: x["rank"].isNotNull()))).otherwise(none)
+        # A card in a run after "+" begins after the country code and goes on beyond the phone.
+        past = lambda a, b: ~plus | ((a > 1) & (b > F.coalesce(F.get(phones, F.lit(0))["b"], F.lit(0))))
+        rank = lambda s: F.when(s.rlike(r"^\d{3,}(?:[ -]\d{3,})*$") & _is_card(digits(s)), F.when(s.rlike(_LAYOUT), 0).otherwise(4))
+        cards = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda a: F.transform(F.sequence(a, F.least(n, a + 5)), lambda b: span(F.when(past(a, b), let(window(a, b), rank)), a, b))))
+        whole = F.array(span(F.when(~plus & _is_card(digits(raw)), F.lit(2)), F.lit(1), n))
+        spans = F.array_sort(F.filter(F.concat(phones, cards, whole), lambda x: x["rank"].isNotNull()))
+        apart = F.aggregate(spans, none, lambda kept, x: F.when(F.exists(kept, lambda y: (y["a"] <= x["b"]) & (x["a"] <= y["b"])), kept).otherwise(F.concat(kept, F.array(x))))
+
+        def laid(taken: Column) -> Column:
+            end = lambda i: F.coalesce(F.get(taken, i)["b"], F.lit(0))
+            gap = lambda a, b: _pieces(F.concat(joined(a, b), F.coalesce(F.regexp_extract(F.get(groups, b), "^[ .-]", 0), F.lit(""))), _REST)
+            hit = lambda x: F.array(F.struct(window(x["a"], x["b"]).alias("s"), F.lit(True).alias("hit")))
+            return F.concat(F.flatten(F.transform(taken, lambda x, i: F.concat(gap(end(i - 1) + 1, x["a"] - 1), hit(x)))), gap(end(F.size(taken) - 1) + 1, n))
+
+        return let(F.array_sort(F.transform(apart, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))), laid)
+
+    run = raw.rlike(r"^(?:\d(?:[ -]?\d){12,}|\+[\d .-]+)$")
+    return F.when(run, let(groups, chosen)).otherwise(F.array(F.struct(raw.alias("s"), F.lit(True).alias("hit"))))
+
+
 def _kind(raw: Column) -> Column:
     digits = F.regexp_replace(raw, r"\D", "")
-    card = F.length(digits).between(13, 19) & digits.rlike("^[3-6]") & (_luhn(digits) % 10 == 0)
+    card = _is_card(digits)
     return (
         F.when(F.contains(raw, F.lit("@")), "email")
         .when(raw.rlike(r"\p{L}"), "person")
@@ -172,22 +241,25 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     """One row per row of docs: id, text with surrogates, n_entities, and n_<kind> for each of KINDS.
 
     Equal keys give equal surrogates as long as the same entities clash, and different keys unrelated ones. Null
-    and empty texts stay as they are. Numbers that fail their check (octets, Luhn's sum) are left alone. Rows that
-    repeat count each. Only id and text are read; an empty table gives no rows.
+    and empty texts stay as they are. Numbers that fail their check (octets, Luhn's sum) are left alone; a card or phone
+    is found beside other groups of digits (see _cut), but a phone whose country is not in NATIONAL takes the groups
+    that follow it, up to 15 digits. Rows that repeat count each. Only id and text are read; an empty table gives no
+    rows.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     raws = F.when(F.col("text").rlike(GATE), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     split = slim.withColumn("raws", raws)
-    hits = split.filter(F.size("raws") > 0).select("id", "raws", F.split("text", PATTERN, -1).alias("gaps"))
+    between = lambda gap, i: F.concat(F.array(F.struct(gap.alias("s"), F.lit(False).alias("hit"))), F.coalesce(let(F.get(F.col("raws"), i), lambda raw: F.when(raw.isNotNull(), _cut(raw))), F.array()))
+    hits = split.filter(F.size("raws") > 0).select("id", F.flatten(F.transform(F.split("text", PATTERN, -1), between)).alias("pieces"))
     hits = park(hits.withColumn("row", F.monotonically_increasing_id()), "hits")
-    each = hits.select("row", F.posexplode("raws").alias("i", "raw")).withColumn("kind", _kind(F.col("raw"))).filter("kind is not null")
+    each = hits.select("row", F.posexplode("pieces").alias("i", "piece")).filter("piece.hit").select("row", "i", F.col("piece.s").alias("raw")).withColumn("kind", _kind(F.col("raw"))).filter("kind is not null")
     each = park(each.withColumn("canon", _canon(F.col("kind"), F.col("raw"))), "mentions")
     known = park(entities(each, key), "surrogates")
     shown = each.join(known, ["kind", "canon"]).select("row", "i", "kind", _render(F.col("kind"), F.col("raw"), F.col("sur")).alias("new"))
     by_row = shown.groupBy(F.col("row").alias("_row")).agg(F.map_from_entries(F.collect_list(F.struct("i", "new"))).alias("new"), *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS])
     by_row = park(by_row, "replaced")
     joined = hits.join(by_row, F.col("row") == F.col("_row"), "left")
-    pieces = F.transform(F.col("gaps"), lambda g, i: F.concat(g, F.coalesce(F.try_element_at(F.col("new"), i), F.get(F.col("raws"), i), F.lit(""))))
+    pieces = F.transform(F.col("pieces"), lambda x, i: F.coalesce(F.try_element_at(F.col("new"), i), x["s"]))
     zero = lambda k: F.coalesce(F.col(f"n_{k}"), F.lit(0)).cast("long").alias(f"n_{k}")
     changed = joined.select("id", F.array_join(pieces, "").alias("text"), *[zero(k) for k in KINDS])
     same = split.filter(F.coalesce(F.size("raws"), F.lit(0)) <= 0).select("id", "text", *[F.lit(0).cast("long").alias(f"n_{k}") for k in KINDS])

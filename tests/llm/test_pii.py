@@ -50,3 +50,18 @@ def test_distinct(spark):
     pairs = {(x, y) for a, b in zip(real, got) for x, y in zip(a, b)}
     assert len(pairs) == len({x for x, _ in pairs}) == len({y for _, y in pairs})
     assert not {x for x, _ in pairs} & {y for _, y in pairs}
+
+
+def test_beside_digits(spark):
+    """Cards and phones beside other groups of digits are found, and the others stay."""
+    card, spaced, phone = "4417744280351547", "4417 7442 8035 1547", "+44 20 7946 0958"
+    whole = [f"{card} 12/27", f"{card} 123", f"order 12 {card}", f"no 7 {card}", f"{spaced} 12/27"]
+    whole += [f"12345 1234 {spaced} 9", f"12 {spaced} {spaced} 12", f"{card} 1.2.3.4.5", f"{phone} 12", f"{phone} {spaced} 12/27", f"id 12 {card}-{card} 5", "9807915762804490 12", "12 " * 60]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate([*whole, f"12 078-05-1120 {card}", f"{card} 97.51.17.173", phone])], "doc_id long, text string")
+    got = [r.text for r in sorted(pseudonymise(docs, "k").collect(), key=lambda r: r.doc_id)]
+    new = re.match(r"\d+", got[0])[0]
+    laid = " ".join(new[k : k + 4] for k in range(0, 16, 4))
+    called = got[-1]
+    assert new != card and luhn(new) and re.fullmatch(r"\+44 \d\d \d{4} \d{4}", called) and called != phone
+    assert got[: len(whole)] == [x.replace(card, new).replace(spaced, laid).replace(phone, called) for x in whole]
+    assert re.fullmatch(rf"12 9\d\d-\d\d-\d{{4}} {new}", got[-3]) and re.fullmatch(rf"{new} (?!97\.51)\d+\.\d+\.\d+\.\d+", got[-2])
