@@ -40,6 +40,8 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IP = rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _CARD = r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])"
+#: Phones without country code: 3-3-4 digits with one kind of separator, or a trunk 0, area code and separated rest.
+_NATIONAL = r"(?<![\d.+-])(?:[2-9]\d{2}([ .-])\d{3}\1\d{4}|0[1-9]\d{0,3}[ /-]\d{3,4}(?:[ -]?\d{2,4}){1,2})(?![.-]?\d)"
 _PHONE = r"\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}"
 #: A group of digits, and those that go on after it; none of them begins an address.
 _GROUP = r"\d++(?!-(?!\d))"
@@ -53,10 +55,13 @@ PATTERN = "|".join((
     rf"(?<![\d.]){_IP}",
     _SSN,
     rf"(?<![\d.-])(?=\d(?:[ -]?\d){{12}}){_GROUP}{_MORE}",
+    _NATIONAL,
     rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}\p{{L}}+(?:[ -]\p{{Lu}}\p{{L}}+){{0,2}}",
 ))
 #: What may be left in a run of digits beside the entities that _cut chooses.
-_REST = f"{_SSN}|{_CARD}"
+_REST = f"{_SSN}|{_CARD}|{_NATIONAL}"
+#: What cards begin with: 3 to 6, or Mastercard's 2221 to 2720.
+_ISSUER = r"^(?:[3-6]|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720))"
 #: The layouts of cards in use.
 _LAYOUT = r"^(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}(?:[ -]\d{3})?|\d{4}[ -]\d{6}[ -]\d{4,5})$"
 #: How many digits follow the country code, where all or nearly all numbers have as many.
@@ -77,7 +82,7 @@ def _luhn(digits: Column) -> Column:
 
 
 def _is_card(digits: Column) -> Column:
-    return F.length(digits).between(13, 19) & digits.rlike("^[3-6]") & (_luhn(digits) % 10 == 0)
+    return F.length(digits).between(13, 19) & digits.rlike(_ISSUER) & (_luhn(digits) % 10 == 0)
 
 
 def _pieces(text: Column, pattern: str) -> Column:
@@ -140,6 +145,7 @@ def _kind(raw: Column) -> Column:
         .when(raw.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(raw.rlike(r"[+(]") & F.length(digits).between(7, 15), "phone")
         .when(~raw.rlike(r"[+(]") & card, "card")
+        .when(raw.rlike(f"^{_NATIONAL}$") & F.length(digits).between(8, 12), "phone")
     )
 
 
@@ -186,11 +192,14 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     # The domain's surrogate depends on the domain alone: mailboxes of one host stay on one host.
     email = F.concat(_shaped(user, seed), again, F.lit("@"), _shaped(labels, F.concat(F.lit(key), F.lit("|domain|"), labels)), F.lit("."), ending)
     size = F.length(canon)
-    code = F.greatest(F.lit(0), size - 10)
+    # A trunk 0 stays like a country code.
+    code = F.greatest(F.startswith(canon, F.lit("0")).cast("int"), size - 10)
     phone = F.concat(F.substring(canon, F.lit(1), code), F.substring(F.concat(F.lit("2"), figures), F.lit(1), size - code))
     ip = F.concat_ws(".", (_number(seed, 0, 222) + 1).cast("string"), *[_number(seed, k, 256).cast("string") for k in (1, 2)], (_number(seed, 3, 254) + 1).cast("string"))
     ssn = F.concat(F.lit("9"), F.substring(figures, 1, 8))
-    open_card = F.concat(F.substring(canon, 1, 1), F.substring(figures, F.lit(1), size - 2))
+    # After a 2, the second figure is one that all of Mastercard's numbers may have.
+    second = F.when(F.startswith(canon, F.lit("2")), F.translate(F.substring(figures, 1, 1), "0123456789", "3456345634")).otherwise(F.substring(figures, 1, 1))
+    open_card = F.concat(F.substring(canon, 1, 1), second, F.substring(figures, F.lit(2), size - 3))
     card = let(open_card, lambda c: F.concat(c, F.pmod(10 - _luhn(F.concat(c, F.lit("0"))) % 10, F.lit(10)).cast("string")))
     words = F.split(F.substring_index(canon, ":", -1), "[ -]")
     script = F.when(canon.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
@@ -241,7 +250,9 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     """One row per row of docs: id, text with surrogates, n_entities, and n_<kind> for each of KINDS.
 
     Equal keys give equal surrogates as long as the same entities clash, and different keys unrelated ones. Null
-    and empty texts stay as they are. Numbers that fail their check (octets, Luhn's sum) are left alone; a card or phone
+    and empty texts stay as they are. Numbers that fail their check (octets, Luhn's sum, an issuer's first digits) are left alone,
+    and so are phones without "+" or parentheses unless they are separated as 3-3-4 digits or after a trunk 0 and area
+    code. With and without its country code a phone is two entities. A card or phone
     is found beside other groups of digits (see _cut), but a phone whose country is not in NATIONAL takes the groups
     that follow it, up to 15 digits. Rows that repeat count each. Only id and text are read; an empty table gives no
     rows.

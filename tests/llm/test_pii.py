@@ -65,3 +65,17 @@ def test_beside_digits(spark):
     assert new != card and luhn(new) and re.fullmatch(r"\+44 \d\d \d{4} \d{4}", called) and called != phone
     assert got[: len(whole)] == [x.replace(card, new).replace(spaced, laid).replace(phone, called) for x in whole]
     assert re.fullmatch(rf"12 9\d\d-\d\d-\d{{4}} {new}", got[-3]) and re.fullmatch(rf"{new} (?!97\.51)\d+\.\d+\.\d+\.\d+", got[-2])
+
+
+def test_more_numbers(spark):
+    """Mastercard's 2-series and national phones; other numbers of their length stay."""
+    stay = ["2220000000000000 2721000000000004", "2024-05-01 01-02-2024 12.345.678", "555-123-45678 5551234567 007 12 1999 2000 2001"]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(["2221000000000009, 2720-9999-9999-9996", "555-123-4567 or 555.123.4567", "030 1234567, 030/123 4567", *stay])], "doc_id long, text string")
+    rows = sorted(pseudonymise(docs, "k").collect(), key=lambda r: r.doc_id)
+    one, two = re.fullmatch(r"(2[3-6]\d{14}), (2[3-6]\d\d-\d{4}-\d{4}-\d{4})", rows[0].text).groups()
+    assert luhn(one) and luhn(two.replace("-", "")) and one != "2221000000000009" and two != "2720-9999-9999-9996"
+    a, b = re.fullmatch(r"(\d{3}-\d{3}-\d{4}) or (\d{3}\.\d{3}\.\d{4})", rows[1].text).groups()
+    assert a.replace("-", ".") == b != "555.123.4567"
+    a, b = re.fullmatch(r"(02\d \d{7}), (02\d/\d{3} \d{4})", rows[2].text).groups()
+    assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b) != "0301234567"
+    assert [r.n_card for r in rows] == [2, 0, 0, 0, 0, 0] and [r.n_phone for r in rows] == [0, 2, 2, 0, 0, 0] and [r.text for r in rows[3:]] == stay
