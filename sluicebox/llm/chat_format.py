@@ -7,9 +7,9 @@ depth-first: shared turns stand once in the stream, every node has the position
 conversations, and the intervals of the stream that it attends to, those of its ancestors and its own.
 
 Equal conversations are one leaf. The conversations below one first turn make one tree as long as they have at most
-`pack` characters; larger ones are dealt by their second turn and then by a hash of the whole, each part with its own
-copy of the shared turns, so no task holds more than about that (or one conversation, which is one training record
-and is never cut). Positions and intervals count code points.
+`pack` characters; larger ones are put in order of their sequences of turns, by hash, and cut into ranges of about
+that many, so no task holds more (or one conversation, which is one training record and is never cut). Turns that
+conversations on both sides of a cut share stand once in each range. Positions and intervals count code points.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from sluicebox.llm.common import park
 
@@ -113,16 +114,24 @@ class Chats:
         whole = park(whole, "conversations")
         self.members = whole.select(F.col("_conv").alias(id_col), "content")
         one = whole.groupBy("content").agg(F.first("turns").alias("turns"))
-        first, second = (F.xxhash64(F.get(F.col("turns"), k)["role"], F.get(F.col("turns"), k)["text"]) for k in (0, 1))
+        # Equal initial turns have equal initial hashes, so that the order of these sequences is that of a tree.
+        keys = F.transform("turns", lambda x: F.xxhash64(x["role"], x["text"]))
         size = F.aggregate("turns", F.lit(0).cast("long"), lambda n, x: n + F.length(x["text"]) + F.length(x["role"]) + 30)
-        one = park(one.select("content", "turns", first.alias("root"), second.alias("next"), size.alias("size")), "distinct")
-        large = park(one.groupBy("root").agg(F.sum("size").alias("all")).filter(F.col("all") > pack), "large")
-        one = one.join(large, "root", "left").withColumn("s1", F.when(F.col("all").isNull(), 0).otherwise(F.pmod("next", F.ceil(F.col("all") / pack))).cast("long")).drop("all")
-        one = park(one, "dealt")
-        still = park(one.groupBy("root", "s1").agg(F.sum("size").alias("all")).filter(F.col("all") > pack), "still")
-        one = one.join(still, ["root", "s1"], "left").withColumn("s2", F.when(F.col("all").isNull(), 0).otherwise(F.pmod(F.xxhash64("content"), F.ceil(F.col("all") / pack))).cast("long"))
+        one = park(one.select("content", "turns", F.xxhash64(F.get(F.col("turns"), 0)["role"], F.get(F.col("turns"), 0)["text"]).alias("root"), keys.alias("keys"), size.alias("size")), "distinct")
+        large = park(one.groupBy("root").agg(F.sum("size").alias("all")).filter(F.col("all") > pack).select("root"), "large")
+        order = one.join(large, "root", "left_semi").select("root", "keys", "content", "size").repartitionByRange("root", "keys", "content")
+        order = park(order.withColumn("range", F.spark_partition_id()), "ranges")
+        # Places in the order are summed within ranges first and then over the ranges, of which a root has few.
+        sums = order.groupBy("root", "range").agg(F.sum("size").alias("n"))
+        earlier = W.partitionBy("root").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+        sums = sums.select(F.col("root").alias("_root"), F.col("range").alias("_range"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+        inside = W.partitionBy("root", "range").orderBy("keys", "content").rowsBetween(W.unboundedPreceding, -1)
+        order = order.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        order = order.join(sums, (F.col("root") == F.col("_root")) & (F.col("range") == F.col("_range")))
+        cuts = park(order.select(F.col("content").alias("_content"), F.floor((F.col("offset") + F.col("inside")) / F.lit(pack)).alias("cut")), "cuts")
+        one = one.join(cuts, F.col("content") == F.col("_content"), "left").withColumn("cut", F.coalesce("cut", F.lit(0)))
         # The pack's name is the only key, and a pack is bounded by construction.
-        name = F.concat_ws(":", F.hex("root"), F.col("s1").cast("string"), F.col("s2").cast("string"))
+        name = F.concat_ws(":", F.hex("root"), F.col("cut").cast("string"))
         one = one.select(name.alias("pack"), "content", "turns")
 
         def packed(group: pa.Table) -> pa.Table:

@@ -48,3 +48,14 @@ def test_operator(spark):
             assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
             assert (got[c].n_turns, got[c].loss_chars, got[c].loss_sha256) == (len(turns), len(said), hashlib.sha256(said.encode()).hexdigest())
     assert format_chats(chats.limit(0)).read().collect() == []
+
+
+def test_shared_turns_below_a_hot_prefix(spark):
+    """Each cut of an oversized tree repeats the turns of one path at most."""
+    said = lambda c, t: "hi" if t < 2 else f"family {c % 8} turn {t} " * 5 if t < 5 else f"{c} ends"
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", said(c, t)) for c in range(240) for t in range(6)]
+    made = format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), pack=6000)
+    packs = made.packs.collect()
+    prefixes = {tuple(said(c, t) for t in range(k + 1)) for c in range(240) for k in range(6)}
+    assert len(packs) > 8 and len(prefixes) <= sum(len(p.nodes) for p in packs) <= len(prefixes) + (len(packs) - 1) * 5
+    assert sorted(leaf.content for p in packs for leaf in p.leaves) == sorted(r.content for r in made.members.collect())
