@@ -29,9 +29,16 @@ def stem(name: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """Digit runs compare as numbers and other runs as text. Runs of up to 20 digits."""
+    """Digit runs of any length compare as numbers and other runs as text; a name that begins with digits comes before
+    those that don't. A number is led by how many digits it has without leading zeros."""
     runs = F.regexp_extract_all(name, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
-    return F.transform(runs, lambda t: F.when(t.rlike("^[0-9]"), F.lpad(t, 20, "0")).otherwise(t))
+
+    def number(t: Column) -> Column:
+        digits = F.ltrim(t, F.lit("0"))
+        return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
+    keys = F.transform(runs, lambda t: F.when(t.rlike("^[0-9]"), number(t)).otherwise(t))
+    return F.when(name.rlike("^[0-9]"), F.concat(F.array(F.lit("")), keys)).otherwise(keys)
 
 
 def frame_name(number: Column) -> Column:
@@ -42,19 +49,25 @@ def _number(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).cast("double")
 
 
+#: How ffmpeg writes streams, rates, durations and its progress.
+STREAM = r"Stream #.*Video:\s*(\w+)"
+RATE = r"(\d+(?:\.\d+)?)\s*fps"
+DURATION = r"Duration:\s*(\d+):(\d+):(\d+\.\d+)"
+PROGRESS = r"frame=\s*(\d+)"
+
+
 def codec(probe: Column) -> Column:
     """The video codec that a probe text names; null if none."""
-    return F.lower(F.nullif(F.regexp_extract(probe, r"Stream #.*Video:\s*(\w+)", 1), F.lit("")))
+    return F.lower(F.nullif(F.regexp_extract(probe, STREAM, 1), F.lit("")))
 
 
 def fps(probe: Column) -> Column:
-    return _number(probe, r"(\d+(?:\.\d+)?)\s*fps")
+    return _number(probe, RATE)
 
 
 def duration(probe: Column) -> Column:
     """Seconds."""
-    pattern = r"Duration:\s*(\d+):(\d+):(\d+\.\d+)"
-    return _number(probe, pattern, 1) * 3600 + _number(probe, pattern, 2) * 60 + _number(probe, pattern, 3)
+    return _number(probe, DURATION, 1) * 3600 + _number(probe, DURATION, 2) * 60 + _number(probe, DURATION, 3)
 
 
 def frame_count(rate: Column, seconds: Column) -> Column:
@@ -64,7 +77,7 @@ def frame_count(rate: Column, seconds: Column) -> Column:
 
 def last_progress(log: Column) -> Column:
     """The largest frame number that a progress log reports; null if none."""
-    found = F.regexp_extract_all(log, F.lit(r"frame=\s*(\d+)"), F.lit(1))
+    found = F.regexp_extract_all(log, F.lit(PROGRESS), F.lit(1))
     return F.array_max(F.transform(found, lambda x: x.cast("long")))
 
 

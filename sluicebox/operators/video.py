@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from sluicebox.functions.text import GPU_CODECS, HEVC_CODECS, codec, duration, fps, frame_count, frame_name
 from sluicebox.storage import running_total
 
-#: Frames that a video on the CPU route reserves beyond its estimate.
-RESERVE = 100
+#: Numbers that a video reserves beyond its estimated frames, and those of a video whose length isn't known. File
+#: names have eleven digits.
+RESERVE, UNKNOWN = 100, 10_000_000
 
 
 def video_info(probes: DataFrame, text: str = "stderr") -> DataFrame:
@@ -25,12 +26,12 @@ def routed(videos: DataFrame, gpu: bool = True) -> DataFrame:
     return videos.withColumn("route", F.when(able, "gpu").otherwise("cpu")).withColumn("decoder", decoder)
 
 
-def start_frames(videos: DataFrame, frames: Column, on_cpu: Column, *order: Column, reserve: int = RESERVE, first: int = 1) -> DataFrame:
-    """videos with reserved, the numbers that a video may use, and start_frame, its first: videos on the GPU come
-    first with their frames, then those on the CPU with theirs and a reserve. Unknown frames count as 0."""
-    known = F.coalesce(frames, F.lit(0)).cast("long")
-    out = videos.withColumn("reserved", known + F.when(on_cpu, reserve).otherwise(0))
-    return running_total(out, F.col("reserved"), on_cpu, *order, name="start_frame").withColumn("start_frame", F.col("start_frame") + first)
+def start_frames(videos: DataFrame, frames: Column, on_cpu: Column, *order: Column, reserve: int = RESERVE, unknown: int = UNKNOWN, first: int = 1) -> DataFrame:
+    """videos with reserved, how many numbers a video may use, and start_frame, the first of them. No two videos share
+    a number: lengths are estimates, so each video has a reserve beyond its own, and one whose length isn't known has
+    `unknown` numbers. Videos on the GPU come first, then those on the CPU, then those of unknown length."""
+    out = videos.withColumn("reserved", F.coalesce(frames.cast("long") + reserve, F.lit(unknown).cast("long")))
+    return running_total(out, F.col("reserved"), frames.isNull(), on_cpu, *order, name="start_frame").withColumn("start_frame", F.col("start_frame") + first)
 
 
 def extraction_plan(probes: DataFrame, gpu: bool = True, path: str = "path", text: str = "stderr") -> DataFrame:

@@ -49,21 +49,37 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/*", "/")
 
 
+def tool_versions(*names: str) -> dict[str, str | None]:
+    """The first line that each tool says of its version; None if this machine doesn't have it or it fails."""
+    out = {}
+    for name in names:
+        done = subprocess.run([name, "-version"], capture_output=True, timeout=60) if shutil.which(name) else None
+        out[name] = done.stdout.decode(errors="replace").partition("\n")[0] if done and not done.returncode else None
+    return out
+
+
+def require_tools(*names: str) -> None:
+    """An error that names the tools that this machine lacks."""
+    lacking = [n for n, version in tool_versions(*names).items() if version is None]
+    if lacking:
+        raise RuntimeError(f"not installed or not working: {', '.join(lacking)}")
+
+
 def _probe(path: str) -> str | None:
-    if not shutil.which("ffmpeg"):
-        return None
+    require_tools("ffmpeg")
     done = subprocess.run(["ffmpeg", "-hide_banner", "-i", path], capture_output=True, timeout=60)
     return done.stderr.decode(errors="replace")
 
 
 def probe_videos(videos: DataFrame, probe: Callable[[str], str | None] = _probe) -> DataFrame:
-    """(path, stderr): what a probe says about each video, null if it fails. The work is dealt by video."""
+    """(path, stderr): what a probe says about each video, null if it fails on that video. Without the tool itself
+    the query fails, since all videos would look alike. The work is dealt by video."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def one(path: str) -> str | None:
             try:
                 return probe(path)
-            except Exception:
+            except (OSError, ValueError, subprocess.SubprocessError):
                 return None
 
         for part in parts:
@@ -74,7 +90,6 @@ def probe_videos(videos: DataFrame, probe: Callable[[str], str | None] = _probe)
 
 def gpu_decoders() -> bool:
     """Whether this machine's ffmpeg lists a decoder that runs on a GPU."""
-    if not shutil.which("ffmpeg"):
-        return False
+    require_tools("ffmpeg")
     listed = subprocess.run(["ffmpeg", "-hide_banner", "-decoders"], capture_output=True, timeout=60).stdout
     return b"h264_cuvid" in listed or b"hevc_cuvid" in listed

@@ -56,23 +56,45 @@ def _ffmpeg(path: str, folder: str, start: int, decoder: str | None) -> list[str
     return ["ffmpeg", "-hide_banner", *device, "-i", path, "-start_number", str(start), f"{folder}/%011d.jpg"]
 
 
+#: Most tasks that a plan is dealt to.
+MOST_TASKS = 10_000
+
+
+def _extracted(command: list[str], own: str, folder: str, start: int, reserved: int, timeout: int) -> int:
+    """Run one extraction into a folder of its own, then move its frames. A video that has outgrown its numbers is an
+    error and moves nothing, so no video ever writes over another's frames."""
+    shutil.rmtree(own, ignore_errors=True)
+    os.makedirs(own)
+    try:
+        done = subprocess.run(command, capture_output=True, timeout=timeout)
+        if done.returncode:
+            raise OSError(done.stderr.decode(errors="replace"))
+        made = sorted((int(n[:-4]), n) for n in os.listdir(own) if n.endswith(".jpg") and n[:-4].isdigit())
+        if made and not (start <= made[0][0] and made[-1][0] < start + reserved):
+            raise OSError(f"frames {made[0][0]} to {made[-1][0]} are not within the {reserved} numbers from {start}")
+        for _, name in made:
+            os.replace(f"{own}/{name}", f"{folder}/{name}")
+        return len(made)
+    finally:
+        shutil.rmtree(own, ignore_errors=True)
+
+
 def extract_frames(plan: DataFrame, folder: str, command: Callable[[str, str, int, str | None], list[str]] = _ffmpeg, timeout: int = 86_400) -> DataFrame:
-    """(path, frames, ok, error) after running the planned extractions (path, decoder, start_frame, reserved). A
-    video's frames are the files in its own range of numbers, whatever else the folder holds."""
+    """(path, frames, ok, error) after running the planned extractions (path, decoder, start_frame, reserved). Videos
+    are dealt out singly, since each is a long job. One that fails or outgrows its numbers is an error row, and one
+    that is done again gives the same files, so lost executors do no harm."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
             for row in part.itertuples(index=False):
+                own, start = f"{folder}/.parts/{int(row.start_frame)}", int(row.start_frame)
                 try:
-                    os.makedirs(folder, exist_ok=True)
-                    done = subprocess.run(command(row.path, folder, int(row.start_frame), row.decoder), capture_output=True, timeout=timeout)
-                    last = int(row.start_frame) + int(row.reserved)
-                    made = sum(n.endswith(".jpg") and n[:-4].isdigit() and row.start_frame <= int(n[:-4]) < last for n in os.listdir(folder))
-                    ok = done.returncode == 0
-                    out.append((row.path, made, ok, None if ok else done.stderr.decode(errors="replace")[:200]))
+                    made = _extracted(command(row.path, own, start, row.decoder), own, folder, start, int(row.reserved), timeout)
+                    out.append((row.path, made, True, None))
                 except (OSError, subprocess.TimeoutExpired) as error:
                     out.append((row.path, 0, False, str(error)[:200]))
             yield pd.DataFrame(out, columns=["path", "frames", "ok", "error"])
 
-    return plan.select("path", "decoder", "start_frame", "reserved").mapInPandas(run, "path string, frames long, ok boolean, error string")
+    rows = plan.select("path", "decoder", "start_frame", "reserved")
+    return rows.repartition(max(1, min(MOST_TASKS, rows.count()))).mapInPandas(run, "path string, frames long, ok boolean, error string")

@@ -1,5 +1,6 @@
 """Folders of images written here, through catalog, decoding, hashing, scores, verdicts, manifest and copies."""
 
+import functools
 import struct
 import sys
 import zlib
@@ -83,8 +84,8 @@ def test_videos(spark, tmp_path):
             raise OSError("unreadable")
         return "Duration: 00:00:02.50, Stream #0:0: Video: H264 (High), 10 fps"
 
-    def command(path, folder, start, decoder):
-        names = f"[open('{folder}/%011d.jpg' % n, 'w').close() for n in range({start}, {start} + 25)]"
+    def command(path, folder, start, decoder, more=0):
+        names = f"[open('{folder}/%011d.jpg' % n, 'w').close() for n in range({start}, {start} + 25 + {more if 'a.MOV' in path else 0})]"
         return [sys.executable, "-c", names if "broken" not in path else "raise SystemExit('no video')"]
 
     (tmp_path / "in" / "b").mkdir(parents=True)
@@ -92,9 +93,48 @@ def test_videos(spark, tmp_path):
         (tmp_path / "in" / name).write_text("x")  # empty files are not listed
     plan = curation.plan_videos(spark, str(tmp_path / "in"), gpu=True, probe=probe).orderBy("start_frame")
     got = [(r.path.rsplit("/", 1)[1], r.route, r.frames, r.start_frame, r.first_file) for r in plan.collect()]
-    assert got == [("a.MOV", "gpu", 25, 1, "00000000001.jpg"), ("z.mp4", "gpu", 25, 26, "00000000026.jpg"), ("broken.avi", "cpu", None, 51, "00000000051.jpg")]
+    assert got == [("a.MOV", "gpu", 25, 1, "00000000001.jpg"), ("z.mp4", "gpu", 25, 126, "00000000126.jpg"), ("broken.avi", "cpu", None, 251, "00000000251.jpg")]
     done = sinks.extract_frames(plan, str(tmp_path / "out"), command)
     found = {r.path.rsplit("/", 1)[1]: (r.frames, r.ok, r.error) for r in done.collect()}
     assert found["a.MOV"] == found["z.mp4"] == (25, True, None) and found["broken.avi"][:2] == (0, False) and "no video" in found["broken.avi"][2]
+    # A video that has a few frames more than was estimated keeps them, and one that outgrows its numbers is an error.
+    for more, made in ((100, 125), (101, 0)):
+        out = tmp_path / f"out{more}"
+        grown = {r.path.rsplit("/", 1)[1]: (r.frames, r.ok) for r in sinks.extract_frames(plan, str(out), functools.partial(command, more=more)).collect()}
+        assert grown["a.MOV"] == (made, made > 0) and grown["z.mp4"] == (25, True)
+        assert sorted(p.name for p in out.glob("*.jpg")) == [f"{n:011}.jpg" for n in (*range(1, 1 + made), *range(126, 151))]
     again = video.failed(plan, done.filter("ok"), "path").collect()
     assert [r.path.rsplit("/", 1)[1] for r in again] == ["broken.avi"]
+
+
+def test_pixels_do_not_move(spark, folder, monkeypatch):
+    """Whatever may be broadcast, no exchange carries pixels; beyond the bound on paths results are the same."""
+    plans = []
+    write = curation.park
+
+    def watched(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(curation, "park", watched)
+    monkeypatch.setattr(curation, "MOST_PATHS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.name: (r.fate, r.bytes, r.blur) for r in curation.curate(spark, str(folder), threshold=10).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert any("PythonUDF" in p or "ArrowEvalPython" in p for p in plans)
+    for plan in plans:
+        scan = plan.find("image")
+        assert not any("data#" in line for line in plan.split("\n") if "Exchange" in line), plan[scan : scan + 500]
+    monkeypatch.undo()
+    assert got == {r.name: (r.fate, r.bytes, r.blur) for r in curation.curate(spark, str(folder), threshold=10).collect()}
+
+
+def test_tools(monkeypatch):
+    assert media.tool_versions("no-such-tool") == {"no-such-tool": None}
+    with pytest.raises(RuntimeError, match="no-such-tool"):
+        media.require_tools("no-such-tool")
+    monkeypatch.setattr(media.shutil, "which", lambda name: None)
+    with pytest.raises(RuntimeError):
+        media.gpu_decoders()
