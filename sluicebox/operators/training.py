@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from sluicebox.functions.numeric import draw_key
-from sluicebox.storage import global_index
+from sluicebox.storage import global_index, running_totals
 
 
 def _keys(image: Column, patches: int, epoch: int, seed: int) -> Column:
@@ -59,9 +59,12 @@ def minibatches(rows: DataFrame, id_col: str, size: int = 64, *, epoch: int = 0,
 
 
 def epoch_losses(log: DataFrame, epoch: str, batch: Column, loss: Column) -> DataFrame:
-    """log with running, the mean loss of its epoch so far."""
-    w = W.partitionBy(epoch).orderBy(batch).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return log.withColumn("running", F.avg(loss).over(w))
+    """log with running, the mean loss of its epoch so far; missing losses don't count. An epoch of any length is
+    summed over several tasks."""
+    known = loss.isNotNull().cast("int")
+    rows = running_totals(log.withColumn("_loss", loss), epoch, {"_sum": F.col("_loss"), "_count": known}, batch)
+    value = F.coalesce(F.col("_loss"), F.lit(0))
+    return rows.withColumn("running", F.try_divide(F.col("_sum") + value, F.col("_count") + F.col("_loss").isNotNull().cast("int"))).drop("_loss", "_sum", "_count")
 
 
 def best_so_far(log: DataFrame, key: str, loss: Column, *order: Column) -> DataFrame:

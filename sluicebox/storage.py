@@ -34,13 +34,23 @@ def clean(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that park() made, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._parked)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def park(df: DataFrame, label: str) -> DataFrame:
     """The rows of df as a Parquet table in the shared folder, read again. It cuts the lineage, survives lost
     executors and gives later joins a scan below their own exchange, which adaptive execution can split."""
     spark = df.sparkSession
     path = f"{_own(spark)}/{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._parked = path.rsplit("/", 1)[0]
+    return out
 
 
 #: monotonically_increasing_id() holds the partition above these bits and the position in it below.
@@ -74,3 +84,18 @@ def running_total(df: DataFrame, value: Column, *order: Column, name: str = "bef
     inside = W.partitionBy("_part").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn(name, F.coalesce(F.sum("_v").over(inside), F.lit(0)))
     return rows.join(F.broadcast(bases), "_part").withColumn(name, F.col(name) + F.col("_base")).drop("_part", "_at", "_base", "_v")
+
+
+def running_totals(df: DataFrame, key: str, values: dict[str, Column], *order: Column) -> DataFrame:
+    """df with the sum of each value over all earlier rows of the same key. A key may have any share of the rows: it
+    runs through as many tasks as the range partitioning gives it, and one row per partition and key is summed
+    beyond them."""
+    held = {name: f"_v{i}" for i, name in enumerate(values)}
+    rows = _sorted(df.withColumns({held[n]: F.coalesce(v, F.lit(0)) for n, v in values.items()}), [F.col(key), *order])
+    sums = rows.groupBy(F.col("_part").alias("_p"), F.col(key).alias("_k")).agg(*[F.sum(v).alias(f"_s{v}") for v in held.values()])
+    earlier = W.partitionBy("_k").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select("_p", "_k", *[F.coalesce(F.sum(f"_s{v}").over(earlier), F.lit(0)).alias(f"_b{v}") for v in held.values()])
+    inside = W.partitionBy("_part", key).orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumns({n: F.coalesce(F.sum(v).over(inside), F.lit(0)) for n, v in held.items()})
+    rows = rows.join(sums, (F.col("_part") == F.col("_p")) & F.col(key).eqNullSafe(F.col("_k")))
+    return rows.withColumns({n: F.col(n) + F.col(f"_b{v}") for n, v in held.items()}).drop("_part", "_at", "_p", "_k", *held.values(), *[f"_b{v}" for v in held.values()])

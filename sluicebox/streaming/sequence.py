@@ -17,9 +17,11 @@ def stream_fifo_dedup(hashes: DataFrame, key: str, order: str, hash_col: str, th
     """The retained rows (key, order, hash) of a stream, as fifo_dedup has them, if each key arrives in order.
 
     The state of a key is its queue and the last position seen; a row that comes late, at or before that position,
-    is rejected, since taking it would change what was decided after it.
+    is rejected, since taking it would change what was decided after it. Rows without a hash are skipped, and those
+    without a key are one sequence. A task holds one key's narrow rows of one micro-batch, which the source's options
+    (files or bytes per trigger) bound.
     """
-    rows = hashes.select(key, order, hash_col).filter(F.col(hash_col).isNotNull() & F.col(key).isNotNull())
+    rows = hashes.select(key, order, hash_col).filter(F.col(hash_col).isNotNull())
     state = T.StructType([T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("last", rows.schema[order].dataType)])
 
     def run(keys: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:

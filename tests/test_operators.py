@@ -30,6 +30,9 @@ def test_names(spark):
     shuffled = ["shot_10", "shot_9", "a2b10", "12", "shot_1", "007", "a2b9"]
     got = spark.createDataFrame([(n,) for n in shuffled], "n string").orderBy(text.natural_key(F.col("n")), "n").collect()
     assert [r.n for r in got] == ["007", "12", "a2b9", "a2b10", "shot_1", "shot_9", "shot_10"]
+    numbers = ["a" + "9" * 30, "a1" + "0" * 29, "a" + "0" * 40 + "7", "a8", "7x", "-1", "07"]
+    got = spark.createDataFrame([(n,) for n in numbers], "n string").orderBy(text.natural_key(F.col("n")), "n").collect()
+    assert [r.n for r in got] == ["07", "7x", "-1", "a" + "0" * 40 + "7", "a8", "a1" + "0" * 29, "a" + "9" * 30]
     assert value(spark, text.frame_name(F.lit(123456789012).cast("long"))) == "123456789012.jpg"
 
 
@@ -38,8 +41,11 @@ def test_probe(spark):
     rows = spark.range(1).select(probe.alias("stderr"))
     got = video.routed(video.video_info(rows)).first()
     assert (got.codec, got.fps, got.duration, got.frames, got.route, got.decoder) == ("h264", 25.0, 3723.5, 93087, "gpu", "h264_cuvid")
-    none = video.start_frames(video.routed(video.video_info(spark.createDataFrame([("Duration: 00:00:01.00",), (None,)], "stderr string"))), F.col("frames"), F.col("route") == "cpu", F.col("stderr"))
-    assert [(r.frames, r.reserved, r.start_frame) for r in none.orderBy("start_frame").collect()] == [(None, 100, 1), (None, 100, 101)]
+    probes = [("Duration: 00:00:01.00",), (None,), ("Stream #0: Video: h264, 10 fps",), ("Duration: 00:00:02.00, Stream #0: Video: h264, 10 fps",)]
+    plan = video.extraction_plan(spark.createDataFrame(probes, "stderr string").withColumn("path", F.col("stderr")))
+    # Videos of unknown length come last, on both routes, and share no number with others.
+    rows = [(r.route, r.frames, r.reserved, r.start_frame) for r in plan.orderBy("start_frame").collect()]
+    assert rows == [("gpu", 20, 120, 1), ("gpu", None, 10**7, 121), ("cpu", None, 10**7, 121 + 10**7), ("cpu", None, 10**7, 121 + 2 * 10**7)]
 
 
 def test_sign_hash(spark):
@@ -92,8 +98,14 @@ def test_hamming_pairs(spark):
     hashes = [rng.getrandbits(63) for _ in range(60)]
     hashes += [h ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)) for h in hashes[:30]] + [hashes[0]]
     df = spark.createDataFrame(list(enumerate(hashes)), "i long, h long")
-    got = sorted(tuple(r) for r in sequence.hamming_pairs(df, "i", "h", 4).collect())
-    assert got == sorted((a, b, d) for b in range(len(hashes)) for a in range(b) if (d := (hashes[a] ^ hashes[b]).bit_count()) < 4)
+    want = lambda t: sorted((a, b, d) for b in range(len(hashes)) for a in range(b) if (d := (hashes[a] ^ hashes[b]).bit_count()) < t)
+    for threshold, bands in ((4, None), (2, 1), (4, 3), (7, 4), (1, None), (0, None), (26, None)):
+        got = sorted(tuple(r) for r in sequence.hamming_pairs(df, "i", "h", threshold, bands=bands).collect())
+        assert got == want(threshold), (threshold, bands)
+    # More hashes make wider bands worth their neighbouring keys.
+    assert sequence.band_count(10**3, 14) > sequence.band_count(10**9, 14) >= 4
+    links = sequence.hash_links(spark.createDataFrame([(0, 5)] * 50 + [(1, None)], "i long, h long"), "h", 4)
+    assert links.collect() == []
 
 
 def test_verdicts(spark):
@@ -142,14 +154,19 @@ def test_clean(spark):
     storage.clean(spark)
     with pytest.raises(AnalysisException):
         spark.read.parquet(kept.inputFiles()[0]).count()
+    one, two = storage.park(spark.range(3), "x"), storage.park(spark.range(4), "x")
+    storage.drop(one)
+    assert two.count() == 4
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(one._parked).count()
 
 
 def test_large_groups(spark):
     rng = np.random.default_rng(8)
     rows = [(g, float(v), None if i % 7 == 0 else float(w)) for g, n in (("a", 30_001), ("b", 10), (None, 500), ("one", 1)) for i, (v, w) in enumerate(zip(rng.normal(size=n).round(2), rng.exponential(size=n)))]
     df = spark.createDataFrame(rows + [("none", None, None), ("nan", float("nan"), 1.0)], "g string, v double, w double")
-    plain, large = (sorted(map(str, robust.statistics(df, ["g"], ["v", "w"], big).select("g", "med_v", "med_w", "mad_v", "mad_w").collect())) for big in (False, True))
-    assert plain == large and len(plain) == 6
+    plain, large, counted = (sorted(map(str, robust.statistics(df, ["g"], ["v", "w"], big).select("g", "med_v", "med_w", "mad_v", "mad_w").collect())) for big in (False, True, None))
+    assert plain == large == counted and len(plain) == 6
 
 
 def press(spark, pressed):
@@ -217,6 +234,11 @@ def test_total_order(spark):
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "i long, v long").repartition(7)
     assert all(r.i == r.idx for r in global_index(df, F.col("i")).collect())
+    keyed = storage.running_totals(df.withColumn("k", F.when(F.col("i") > 20, F.col("i") % 2)), "k", {"a": F.col("v"), "n": F.lit(1)}, F.col("i")).collect()
+    for r in keyed:
+        before = [v for i, v in rows if i < r.i and (i > 20) == (r.i > 20) and (i <= 20 or i % 2 == r.i % 2)]
+        assert (r.a, r.n) == (sum(before), len(before))
+    assert len(keyed) == 500 and storage.running_totals(df.limit(0), "v", {"a": F.col("i")}, F.col("i")).collect() == []
     sums, seen = 0, {}
     for i, v in sorted(rows):
         seen[i], sums = sums, sums + v
