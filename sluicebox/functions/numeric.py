@@ -52,15 +52,24 @@ def jitter_hsv(h: Column, s: Column, v: Column, dh: Column, ds: Column, dv: Colu
 def crop_box(width: Column, height: Column, *key: Column, scale: tuple[float, float] = (0.6, 1.0), ratio: tuple[float, float] = (0.75, 1.33), tries: int = 10, seed: int = 0) -> Column:
     """struct(top, left, height, width) of a random resized crop: of up to `tries` draws of area and (log-uniform)
     aspect the first that fits, else the largest centred box within the aspects."""
-    u = lambda k, what: uniform(*key, F.lit(what), F.lit(k), seed=seed)
-    box = lambda t, le, h, w: F.struct(t.cast("int").alias("top"), le.cast("int").alias("left"), h.cast("int").alias("height"), w.cast("int").alias("width"))
-    draws = []
-    for k in range(tries):
+    u = lambda k, what: uniform(*key, F.lit(what), k, seed=seed)
+    low, high = math.log(ratio[0]), math.log(ratio[1])
+
+    def draw(k: Column) -> Column:
         area = width * height * (scale[0] + (scale[1] - scale[0]) * u(k, "area"))
-        aspect = F.exp(math.log(ratio[0]) + (math.log(ratio[1]) - math.log(ratio[0])) * u(k, "aspect"))
-        w, h = F.round(F.sqrt(area * aspect)), F.round(F.sqrt(area / aspect))
-        draws.append(F.when((w > 0) & (w <= width) & (h > 0) & (h <= height), box(F.floor(u(k, "top") * (height - h + 1)), F.floor(u(k, "left") * (width - w + 1)), h, w)))
+        return F.struct(k.alias("k"), area.alias("area"), F.exp(low + (high - low) * u(k, "aspect")).alias("aspect"))
+
+    def sized(d: Column) -> Column:
+        return F.struct(d["k"].alias("k"), F.round(F.sqrt(d["area"] * d["aspect"])).alias("w"), F.round(F.sqrt(d["area"] / d["aspect"])).alias("h"))
+
+    def placed(d: Column) -> Column:
+        return F.struct(F.floor(u(d["k"], "top") * (height - d["h"] + 1)).alias("top"), F.floor(u(d["k"], "left") * (width - d["w"] + 1)).alias("left"), d["h"].alias("height"), d["w"].alias("width"))
+
+    draws = F.transform(F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), draw), sized)
+    fitting = F.filter(draws, lambda d: (d["w"] > 0) & (d["w"] <= width) & (d["h"] > 0) & (d["h"] <= height))
     shape = width / height
     w = F.when(shape > ratio[1], F.round(height * ratio[1])).otherwise(width)
     h = F.when(shape < ratio[0], F.round(width / ratio[0])).otherwise(height)
-    return F.coalesce(*draws, box(F.floor((height - h) / 2), F.floor((width - w) / 2), h, w))
+    whole = F.struct(F.floor((height - h) / 2).alias("top"), F.floor((width - w) / 2).alias("left"), h.alias("height"), w.alias("width"))
+    found = F.coalesce(F.get(F.transform(F.slice(fitting, 1, 1), placed), F.lit(0)), whole)
+    return found.cast("struct<top:int,left:int,height:int,width:int>")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sluicebox.plans import tables, vectors
+from sluicebox.plans import files, images, tables, vectors
 
-QUERIES: dict = {**vectors.QUERIES, **tables.QUERIES}
-ORACLE_SQL: dict = {**vectors.ORACLE_SQL, **tables.ORACLE_SQL}
+QUERIES: dict = {**vectors.QUERIES, **images.QUERIES, **files.QUERIES, **tables.QUERIES}
+ORACLE_SQL: dict = {**vectors.ORACLE_SQL, **images.ORACLE_SQL, **files.ORACLE_SQL, **tables.ORACLE_SQL}

@@ -18,7 +18,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mad_reject_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated = robust.verdicts(_events(spark, sf_dir).select("event_id", "event_type", "value"), ["event_type"], {"value": False}, large=True)
+    rated = robust.verdicts(_events(spark, sf_dir).select("event_id", "event_type", "value"), ["event_type"], {"value": False})
     return rated.filter("bad_value").select("event_id", "event_type")
 
 
@@ -43,8 +43,9 @@ def mad_bad_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File names of several shapes, one per document."""
     n = F.col("doc_id").cast("string")
-    shapes = [F.concat(F.lit("shot_"), n, F.lit(".jpg")), F.concat(F.lit("img"), n, F.lit("b"), (F.col("doc_id") % 13).cast("string"), F.lit(".PNG")), F.concat(F.lit("a."), n, F.lit(".gif")), F.concat(F.lit("."), n), F.concat(F.lit("v"), n, F.lit(".Tiff"))]
-    name = F.element_at(F.array(*shapes), (F.col("doc_id") % 5 + 1).cast("int"))
+    long = F.concat(F.lit("shot_"), F.repeat((F.col("doc_id") % 9 + 1).cast("string"), (F.col("doc_id") % 7 + 25).cast("int")), F.lit(".bmp"))
+    shapes = [F.concat(F.lit("shot_"), n, F.lit(".jpg")), F.concat(F.lit("img"), n, F.lit("b"), (F.col("doc_id") % 13).cast("string"), F.lit(".PNG")), F.concat(F.lit("a."), n, F.lit(".gif")), F.concat(F.lit("."), n), F.concat(F.lit("v"), n, F.lit(".Tiff")), F.concat(F.lit("00"), n, F.lit(".tif")), long]
+    name = F.element_at(F.array(*shapes), (F.col("doc_id") % 7 + 1).cast("int"))
     return table(spark, sf_dir, "documents").select("doc_id", name.alias("name"))
 
 
@@ -63,8 +64,8 @@ def batch_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frame_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as videos: urgent ones on the GPU route, the others with a reserve on the CPU."""
-    n = F.floor(F.col("o_totalprice") / 1000).cast("long")
+    """Orders as videos: urgent ones on the GPU route, and some whose length isn't known."""
+    n = F.when(F.col("o_orderkey") % 10 != 3, F.floor(F.col("o_totalprice") / 1000).cast("long"))
     out = video.start_frames(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"), n, F.col("o_orderpriority") != "1-URGENT", F.col("o_orderkey"))
     return out.select("o_orderkey", "reserved", "start_frame", text.frame_name(F.col("start_frame")).alias("first_file"))
 
@@ -164,9 +165,9 @@ def hsv_jitter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crop_and_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A crop box of one draw at least for images of many shapes, and whether they are flipped."""
+    """A random crop box for images of many shapes, and whether they are flipped."""
     k = F.col("p_partkey")
-    box = numeric.crop_box((400 + k % 2900).cast("double"), (390 + k * 7 % 2000).cast("double"), k, tries=2, seed=5)
+    box = numeric.crop_box((400 + k % 2900).cast("double"), (390 + k * 7 % 2000).cast("double"), k, seed=5)
     return table(spark, sf_dir, "part").select("p_partkey", box.alias("b"), (numeric.uniform(k, F.lit("flip"), seed=5) < 0.5).alias("flipped")).select("p_partkey", "b.*", "flipped")
 
 
@@ -211,8 +212,9 @@ def _rated(rows: str, group: str, directions: dict[str, bool], k: int) -> str:
 
 _LINES = f"WITH k AS ({_rated('lineitem', 'l_returnflag', LINEITEM, 1)})"
 _ALL = " AND ".join(f"keep_{m}" for m in LINEITEM)
-_NAMES = """n AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'shot_' || doc_id || '.jpg' WHEN 1 THEN 'img' || doc_id || 'b' || doc_id % 13 || '.PNG'
-    WHEN 2 THEN 'a.' || doc_id || '.gif' WHEN 3 THEN '.' || doc_id ELSE 'v' || doc_id || '.Tiff' END AS name FROM documents),
+_NAMES = """n AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'shot_' || doc_id || '.jpg' WHEN 1 THEN 'img' || doc_id || 'b' || doc_id % 13 || '.PNG'
+    WHEN 2 THEN 'a.' || doc_id || '.gif' WHEN 3 THEN '.' || doc_id WHEN 4 THEN 'v' || doc_id || '.Tiff' WHEN 5 THEN '00' || doc_id || '.tif'
+    ELSE 'shot_' || repeat((doc_id % 9 + 1)::VARCHAR, doc_id % 7 + 25) || '.bmp' END AS name FROM documents),
     x AS (SELECT *, lower(regexp_extract(name, '[^.].*(\\.[^.]*)$', 1)) AS ext FROM n)"""
 _PROBES = """p AS (SELECT p_partkey, p_partkey AS k, concat_ws(', ',
         CASE WHEN p_partkey % 5 <> 0 THEN printf('Duration: %02d:%02d:%02d.%02d', p_partkey % 3, p_partkey % 60, p_partkey * 7 % 60, p_partkey * 13 % 100) END,
@@ -245,9 +247,14 @@ def _draw(k: int) -> str:
     return f"round(sqrt({area} * {aspect})) AS w{k}, round(sqrt({area} / {aspect})) AS h{k}, {_u('p_partkey', chr(39) + 'top' + chr(39), str(k))} AS t{k}, {_u('p_partkey', chr(39) + 'left' + chr(39), str(k))} AS l{k}"
 
 
-def _choose(*values: str) -> str:
-    """The value of the first draw that fits, else the last."""
-    return f"CASE WHEN w0 BETWEEN 1 AND w AND h0 BETWEEN 1 AND h THEN {values[0]} WHEN w1 BETWEEN 1 AND w AND h1 BETWEEN 1 AND h THEN {values[1]} ELSE {values[2]} END::INT"
+#: Draws of a crop box.
+_TRIES = 10
+
+
+def _choose(drawn: str, else_: str) -> str:
+    """The value of the first draw that fits, written with # for its number, or the other."""
+    tests = " ".join(f"WHEN w{k} BETWEEN 1 AND w AND h{k} BETWEEN 1 AND h THEN {drawn.replace('#', str(k))}" for k in range(_TRIES))
+    return f"CASE {tests} ELSE {else_} END::INT"
 
 
 ORACLE_SQL = {
@@ -255,19 +262,20 @@ ORACLE_SQL = {
     "mad_bad_union": f"{_LINES} SELECT l_orderkey, l_linenumber, {', '.join(f'NOT keep_{m} AS bad_{m}' for m in LINEITEM)} FROM k WHERE NOT ({_ALL})",
     "mad_keep_all": f"{_LINES} SELECT l_orderkey, l_linenumber FROM k WHERE {_ALL}",
     "mad_bad_counts": f"{_LINES} SELECT {', '.join(f'count(*) FILTER (NOT keep_{m}) AS bad_{m}' for m in LINEITEM)}, count(*) FILTER (NOT ({_ALL})) AS bad FROM k",
-    "ext_filter_natural_order": f"""WITH {_NAMES} SELECT row_number() OVER (ORDER BY list_transform(regexp_extract_all(name, '([0-9]+|[^0-9]+)'),
-        lambda t: CASE WHEN regexp_matches(t, '^[0-9]') THEN lpad(t, 20, '0') ELSE t END), name) - 1 AS idx, name, ext FROM x
+    "ext_filter_natural_order": f"""WITH {_NAMES} SELECT row_number() OVER (ORDER BY regexp_extract(name, '^[^0-9]*'),
+        lpad(ltrim(regexp_extract(name, '^[^0-9]*([0-9]*)', 1), '0'), 60, '0'), regexp_extract(name, '^[^0-9]*[0-9]*([^0-9]*)', 1),
+        lpad(ltrim(regexp_extract(name, '^[^0-9]*[0-9]*[^0-9]*([0-9]*)', 1), '0'), 60, '0'), name) - 1 AS idx, name, ext FROM x
         WHERE ext IN ('.jpg', '.jpeg', '.png', '.bmp', '.tiff', '.tif')""",
     "path_parts": f"WITH {_NAMES} SELECT doc_id, name, left(name, length(name) - length(ext)) AS stem, ext FROM x",
     "batch_numbers": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS batch FROM documents",
-    "frame_offsets": """WITH n AS (SELECT o_orderkey, o_orderpriority <> '1-URGENT' AS cpu, floor(o_totalprice / 1000)::BIGINT + CASE WHEN o_orderpriority <> '1-URGENT' THEN 100 ELSE 0 END AS reserved FROM orders),
-        s AS (SELECT *, 1 + coalesce(sum(reserved) OVER (ORDER BY cpu, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_frame FROM n)
+    "frame_offsets": """WITH n AS (SELECT o_orderkey, o_orderpriority <> '1-URGENT' AS cpu, CASE WHEN o_orderkey % 10 = 3 THEN 10000000 ELSE floor(o_totalprice / 1000)::BIGINT + 100 END AS reserved FROM orders),
+        s AS (SELECT *, 1 + coalesce(sum(reserved) OVER (ORDER BY o_orderkey % 10 = 3, cpu, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_frame FROM n)
         SELECT o_orderkey, reserved, start_frame, printf('%011d.jpg', start_frame) AS first_file FROM s""",
     "duration_parse": f"WITH {_PROBES} SELECT p_partkey, codec, round(fps, 6) AS fps, round(duration, 6) AS duration, frames FROM v",
     "codec_route": f"""WITH {_PROBES} SELECT p_partkey, CASE WHEN gpu THEN 'gpu' ELSE 'cpu' END AS route,
         CASE WHEN codec IN ('hevc', 'h265', 'hevc_vdpau') THEN 'hevc_cuvid' WHEN gpu THEN 'h264_cuvid' END AS decoder FROM v""",
-    "extraction_plan": f"""WITH {_PROBES}, r AS (SELECT *, coalesce(frames, 0) + CASE WHEN gpu THEN 0 ELSE 100 END AS reserved FROM v),
-        s AS (SELECT *, 1 + coalesce(sum(reserved) OVER (ORDER BY NOT gpu, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_frame FROM r)
+    "extraction_plan": f"""WITH {_PROBES}, r AS (SELECT *, coalesce(frames + 100, 10000000) AS reserved FROM v),
+        s AS (SELECT *, 1 + coalesce(sum(reserved) OVER (ORDER BY frames IS NULL, NOT gpu, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_frame FROM r)
         SELECT p_partkey, CASE WHEN gpu THEN 'gpu' ELSE 'cpu' END AS route, reserved, start_frame, printf('%011d.jpg', start_frame) AS first_file FROM s""",
     "extraction_report": "SELECT count(*) AS files, printf('%011d.jpg', min(o_orderkey)) AS first_file, printf('%011d.jpg', max(o_orderkey)) AS last_file FROM orders WHERE o_orderkey >= 500",
     "failed_requeue": "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
@@ -289,10 +297,10 @@ ORACLE_SQL = {
         p_size * 5 * (1 + (2 * {_u("p_partkey", "'v'")} - 1) * 0.1) AS v FROM part)
         SELECT p_partkey, floor(h - 180 * floor(h / 180))::INT AS h, floor(greatest(0, least(255, s)))::INT AS s, floor(greatest(0, least(255, v)))::INT AS v FROM j""",
     "crop_and_flip": f"""WITH p AS (SELECT p_partkey, (400 + p_partkey % 2900)::DOUBLE AS w, (390 + p_partkey * 7 % 2000)::DOUBLE AS h FROM part),
-        z AS (SELECT *, {_draw(0)}, {_draw(1)}, CASE WHEN w / h > 1.33 THEN round(h * 1.33) ELSE w END AS w2, CASE WHEN w / h < 0.75 THEN round(w / 0.75) ELSE h END AS h2 FROM p)
-        SELECT p_partkey, {_choose("floor(t0 * (h - h0 + 1))", "floor(t1 * (h - h1 + 1))", "floor((h - h2) / 2)")} AS top,
-               {_choose("floor(l0 * (w - w0 + 1))", "floor(l1 * (w - w1 + 1))", "floor((w - w2) / 2)")} AS left,
-               {_choose("h0", "h1", "h2")} AS height, {_choose("w0", "w1", "w2")} AS width, {_u("p_partkey", "'flip'")} < 0.5 AS flipped FROM z""",
+        z AS (SELECT *, {", ".join(map(_draw, range(_TRIES)))}, CASE WHEN w / h > 1.33 THEN round(h * 1.33) ELSE w END AS ww, CASE WHEN w / h < 0.75 THEN round(w / 0.75) ELSE h END AS hh FROM p)
+        SELECT p_partkey, {_choose("floor(t# * (h - h# + 1))", "floor((h - hh) / 2)")} AS top,
+               {_choose("floor(l# * (w - w# + 1))", "floor((w - ww) / 2)")} AS left,
+               {_choose("h#", "hh")} AS height, {_choose("w#", "ww")} AS width, {_u("p_partkey", "'flip'")} < 0.5 AS flipped FROM z""",
     "window_fit": """WITH p AS (SELECT p_partkey, p_name, (400 + p_partkey % 2900)::DOUBLE AS w, (390 + p_partkey * 7 % 2000)::DOUBLE AS h FROM part),
         s AS (SELECT *, least(1280 / w, 720 / h, 1.0::DOUBLE) AS k FROM p)
         SELECT p_partkey, floor(w * k)::INT AS width, floor(h * k)::INT AS height, '[' || (p_partkey + 1) || '/20000] ' || p_name AS status FROM s""",

@@ -11,6 +11,7 @@ from sluicebox.functions import pixels
 from sluicebox.functions.numeric import sign_hash, swish
 from sluicebox.operators import robust, sequence, training
 from sluicebox.session import table
+from sluicebox.storage import park
 
 SIDE = 8
 #: Distances and queue at which some of the test vectors are rejected and some kept.
@@ -82,8 +83,11 @@ def artifact_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fringe_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three vectors in a row as light and two tones; what an incomplete triple lacks is flat."""
     part = lambda k: F.max(F.when(F.col("vec_id") % 3 == k, F.col("embedding"))).alias("Lab"[k])
-    triples = vectors(spark, sf_dir).groupBy(F.floor(F.col("vec_id") / 3).alias("triple")).agg(part(0), part(1), part(2)).dropna()
+    flat = F.array_repeat(F.lit(0.0).cast("float"), SIDE * SIDE)
+    triples = vectors(spark, sf_dir).groupBy(F.floor(F.col("vec_id") / 3).alias("triple")).agg(part(0), part(1), part(2))
+    triples = triples.select("triple", *[F.coalesce(c, flat).alias(c) for c in "Lab"])
     return triples.select("triple", F.round(_fringe()("L", "a", "b"), 6).alias("fringe"))
 
 
@@ -94,8 +98,8 @@ DIRECTIONS = {"blur": True, "ghost": True, "artifact": False}
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survivors of deduplication with scores and verdicts. Only survivors are scored."""
     kept = fifo_dedup(spark, sf_dir).select("vec_id")
-    scored = quality_scores(spark, sf_dir).join(kept, "vec_id", "left_semi").withColumn("run", F.lit(0))
-    return robust.verdicts(scored, ["run"], DIRECTIONS)
+    scored = park(quality_scores(spark, sf_dir).join(kept, "vec_id", "left_semi"), "scores")
+    return robust.global_verdicts(scored, DIRECTIONS)
 
 
 def curation_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +117,7 @@ def curation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bad_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outliers among all vectors, without deduplication: any bad verdict is enough."""
-    rated = robust.verdicts(quality_scores(spark, sf_dir).withColumn("run", F.lit(0)), ["run"], DIRECTIONS)
+    rated = robust.global_verdicts(park(quality_scores(spark, sf_dir), "scores"), DIRECTIONS)
     return rated.filter(robust.any_bad(list(DIRECTIONS))).select("vec_id", *[f"bad_{m}" for m in DIRECTIONS])
 
 
@@ -209,8 +213,10 @@ ORACLE_SQL = {
     "laplacian_var": f"WITH {_HASH}, {_PIXELS} {_GHOST}",
     "artifact_ratio": f"WITH {_HASH}, {_PIXELS}, {_SPECTRUM} {_ARTIFACT}",
     "fringe_ratio": f"""
-        WITH {_HASH}, t AS (SELECT l.vec_id // 3 AS triple, l.e AS l, a.e AS a, b.e AS b FROM v l
-                            JOIN v a ON a.vec_id = l.vec_id + 1 JOIN v b ON b.vec_id = l.vec_id + 2 WHERE l.vec_id % 3 = 0),
+        WITH {_HASH}, z AS (SELECT list_transform(range({SIDE * SIDE}), lambda x: 0.0::DOUBLE) AS e),
+        t AS (SELECT n.triple, coalesce(l.e, z.e) AS l, coalesce(a.e, z.e) AS a, coalesce(b.e, z.e) AS b
+              FROM (SELECT DISTINCT vec_id // 3 AS triple FROM v) n CROSS JOIN z LEFT JOIN v l ON l.vec_id = 3 * triple
+              LEFT JOIN v a ON a.vec_id = 3 * triple + 1 LEFT JOIN v b ON b.vec_id = 3 * triple + 2),
         px AS (SELECT *, i // {SIDE} AS y, i % {SIDE} AS x FROM t, range({SIDE * SIDE}) AS n(i)),
         g AS (SELECT triple, {_sobel("l")} AS plain, sqrt({_sobel("a")} ** 2 + {_sobel("b")} ** 2) AS chroma FROM px),
         n AS (SELECT triple, plain / (max(plain) OVER (PARTITION BY triple) + 1e-8) AS plain,
