@@ -1,5 +1,10 @@
 import re
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from sluicebox.llm import pii
 from sluicebox.llm.pii import KINDS, pseudonymise
 
 ROWS = [
@@ -79,3 +84,70 @@ def test_more_numbers(spark):
     a, b = re.fullmatch(r"(02\d \d{7}), (02\d/\d{3} \d{4})", rows[2].text).groups()
     assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b) != "0301234567"
     assert [r.n_card for r in rows] == [2, 0, 0, 0, 0, 0] and [r.n_phone for r in rows] == [0, 2, 2, 0, 0, 0] and [r.text for r in rows[3:]] == stay
+
+
+def test_people(spark):
+    """One surrogate for a person whatever the title, with and without one; scripts stay."""
+    texts = [
+        "Mr John Smith met Dr John Smith. Later John Smith left, and Smith wrote. Blacksmith and Johnson stay, SMITH too.",
+        "Professor John Smith, Mr Smith",
+        "Ms Ελένη Παππά and Δρ Νίκος; Κυρία Ελένη Παππά",
+        "Mr Արամ Պետրոսյան",
+        "John Smith has no title here",
+        "Dr Kim Rossi and Mr Kim Rossi and Mrs Kim Rossi",
+    ]
+    rows = sorted(pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect(), key=lambda r: r.doc_id)
+    got = [r.text for r in rows]
+    a, b, c, d = re.fullmatch(r"Mr (\w+ \w+) met Dr (\w+ \w+)\. Later (\w+ \w+) left, and (\w+) wrote\. Blacksmith and Johnson stay, SMITH too\.", got[0]).groups()
+    assert a == b == c != "John Smith" and a.split()[1] == d != "Smith" and rows[0].n_person == 4
+    assert got[1] == f"Professor {a}, Mr {d}" and got[4] == texts[4]
+    e, f = re.fullmatch(r"Ms ([Ά-ώ]+ [Ά-ώ]+) and Δρ Νίκος; Κυρία ([Ά-ώ]+ [Ά-ώ]+)", got[2]).groups()
+    assert e == f != "Ελένη Παππά" and re.fullmatch(r"Mr [Ա-և]+ [Ա-և]+", got[3]) and got[3] != texts[3]
+    n, m, w = re.fullmatch(r"Dr (\w+ \w+) and Mr (\w+ \w+) and Mrs (\w+ \w+)", got[5]).groups()
+    assert len({n, m, w}) == 3
+
+
+def test_addresses(spark):
+    texts = ["2001:db8:0:0:0:0:a:1 is 2001:DB8::A:1, not ::1, 12:30:45, std::vector or 1:2:3:4:5:6:7:8:9", "fe80::1:2. 00:1a:2b:3c:4d:5e"]
+    got = [r.text for r in sorted(pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect(), key=lambda r: r.doc_id)]
+    a, b = re.fullmatch(r"((?:[0-9a-f]{1,4}:){2}0:0:0:0(?::[0-9a-f]{1,4}){2}) is ([0-9A-F:]+), not ::1, 12:30:45, std::vector or 1:2:3:4:5:6:7:8:9", got[0]).groups()
+    assert a.replace(":0:0:0:0:", "::") == b.lower() != "2001:db8::a:1"
+    assert re.fullmatch(r"[0-9a-f]{1,4}::[0-9a-f]{1,4}:[0-9a-f]{1,4}\. 00:1a:2b:3c:4d:5e", got[1])
+
+
+def test_crowded_space(spark, monkeypatch):
+    """More numbers than surrogates of their length: later attempts are longer, and all stay distinct."""
+    monkeypatch.setattr(pii, "SHORT", 1)
+    numbers = [f"+1 {n // 100:02} {n % 100:02} 99" for n in range(2000)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "doc_id long, text string")
+    monkeypatch.setattr(pii, "_digits", lambda seed: F.lpad(F.pmod(F.xxhash64(seed), F.lit(900)).cast("string"), 128, "0"))
+    got = pseudonymise(docs, "k").collect()
+    assert len({re.sub(r"\D", "", r.text) for r in got}) == 2000 and not {r.text for r in got} & set(numbers)
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.sampled_from(["", "Mr ", "Mrs. ", "Dr ", "Ms "]), st.sampled_from(["Ann", "Bob"]), st.sampled_from(["Gray", "Lund", "Moss"])), min_size=1, max_size=6), min_size=1, max_size=5))
+def test_coreference_by_brute_force(spark, texts):
+    """Which mentions are replaced, and which share a surrogate, worked out here without the module."""
+    docs = spark.createDataFrame([(i, " then ".join(f"{t}{a} {b}" for t, a, b in x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    got = [r.text.split(" then ") for r in sorted(pseudonymise(docs, "k").collect(), key=lambda r: r.doc_id)]
+    sexes = {"Mr ": "m", "Mrs. ": "f", "Ms ": "f"}
+    everywhere: dict = {}
+    for x in texts:
+        for t, a, b in x:
+            everywhere.setdefault((a, b), set()).update({sexes[t]} if t in sexes else ())
+    surrogates: dict = {}
+    for x, out in zip(texts, got):
+        here: dict = {}
+        for t, a, b in x:
+            here.setdefault((a, b), set()).update({sexes[t]} if t in sexes else ())
+        for (t, a, b), new in zip(x, out):
+            named = any((p, q) == (a, b) and s for s, p, q in x)
+            if not t and not named:
+                family = any(q == b and s for s, p, q in x)
+                assert new.startswith(f"{a} ") and (new == f"{a} {b}") == (not family)
+                continue
+            assert new.startswith(t) and new[len(t) :] != f"{a} {b}"
+            sex = sexes.get(t) or (min(here[a, b]) if len(here[a, b]) == 1 else min(everywhere[a, b]) if len(everywhere[a, b]) == 1 else "n")
+            assert surrogates.setdefault((a, b, sex), new[len(t) :]) == new[len(t) :]
+    assert len(set(surrogates.values())) == len(surrogates)
