@@ -12,7 +12,7 @@ A person is a name with the gender that titles tell. Titles that tell none, and
 a title names the person, stand for the gender that this text, else all texts, give the name, if they give one. A
 family name has one surrogate by itself and at the end of full names.
 
-Only documents with a match are parked and shuffled; the others pass straight through.
+Every text is searched once; only documents with a match are shuffled, and the others pass straight through.
 """
 
 from __future__ import annotations
@@ -344,9 +344,13 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     raws = F.when(F.col("text").rlike(GATE), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     split = slim.withColumn("raws", raws)
+    hit = F.coalesce(F.size("raws"), F.lit(0)) > 0
     between = lambda gap, i: F.concat(F.array(F.struct(gap.alias("s"), F.lit(False).alias("hit"))), F.coalesce(let(F.get(F.col("raws"), i), lambda raw: F.when(raw.isNotNull(), _cut(raw))), F.array()))
-    hits = split.filter(F.size("raws") > 0).select("id", let(F.flatten(F.transform(F.split("text", PATTERN, -1), between)), _with_names).alias("pieces"))
-    hits = park(hits.withColumn("row", F.monotonically_increasing_id()), "hits")
+    pieces = let(F.flatten(F.transform(F.split("text", PATTERN, -1), between)), _with_names)
+    # Searched once: a row holds the pieces of a text with a match, else the text.
+    found = split.select("id", F.when(~hit, F.col("text")).alias("text"), F.when(hit, pieces).alias("pieces"))
+    found = park(found.withColumn("row", F.monotonically_increasing_id()), "searched")
+    hits = found.filter("pieces is not null").select("row", "id", "pieces")
     each = hits.select("row", F.posexplode("pieces").alias("i", "piece")).filter("piece.hit").select("row", "i", F.col("piece.s").alias("raw")).withColumn("kind", _kind(F.col("raw"))).filter("kind is not null")
     each = park(each.withColumn("canon", _canon(F.col("kind"), F.col("raw"))), "found")
     each = park(_resolved(each), "mentions")
@@ -358,7 +362,7 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     pieces = F.transform(F.col("pieces"), lambda x, i: F.coalesce(F.try_element_at(F.col("new"), i), x["s"]))
     zero = lambda k: F.coalesce(F.col(f"n_{k}"), F.lit(0)).cast("long").alias(f"n_{k}")
     changed = joined.select("id", F.array_join(pieces, "").alias("text"), *[zero(k) for k in KINDS])
-    same = split.filter(F.coalesce(F.size("raws"), F.lit(0)) <= 0).select("id", "text", *[F.lit(0).cast("long").alias(f"n_{k}") for k in KINDS])
+    same = found.filter("pieces is null").select("id", "text", *[F.lit(0).cast("long").alias(f"n_{k}") for k in KINDS])
     both = same.unionByName(changed)
     total = sum((F.col(f"n_{k}") for k in KINDS), F.lit(0).cast("long"))
     return both.select(F.col("id").alias(id_col), "text", total.alias("n_entities"), *[f"n_{k}" for k in KINDS])
