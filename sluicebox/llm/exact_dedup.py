@@ -1,11 +1,16 @@
 """Exact deduplication by two passes and a Bloom filter of repeated hashes. [native]
 
-Pass one reads the texts once and parks (id, length, hash). Every hash sets two of `bits` filter positions;
-positions set twice or more make up the filter of possibly repeated hashes, kept as 4 KB bitmaps. Pass two
-tests each row against those bitmaps, which go to all executors (at most max_bits / 8 bytes). Rows that miss
-pass straight through as groups of one; only the others shuffle, without their texts. A false positive of the
-filter costs a shuffled row and never changes a result, so a filter that is too small for its rows only means
-that more of the slim rows shuffle.
+Pass one reads the texts once and parks (id, length, hash). Every hash sets one of the filter's positions; those set
+twice or more make up the filter of possibly repeated hashes, kept as 4 KB bitmaps. Pass two tests each row against
+those bitmaps, which go to all executors. Rows that miss pass straight through as groups of one; only the others
+shuffle, without their texts. A false positive of the filter costs a shuffled row and never changes a result.
+
+The filter grows with the rows. What is sent at once does not: hashes are split into as many ranges as keep a range's
+filter at max_bits / 8 bytes, and the ranges are tested one after another, each reading its own files only.
+
+To find the positions that are set twice, each row's position (one number of four bytes or so, neither its hash nor
+its id) goes through an exchange. Bitmaps can be merged by aggregation without it, but then tell no longer which
+positions two rows have set.
 """
 
 from __future__ import annotations
@@ -13,65 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluicebox.llm.bloom import BITS_PER_ROW, MAX_BITS, among, apart, possibly_repeated
 from sluicebox.llm.common import MOST_IDS, SPACES, fresh, park
 
-BITMAP = 32768
-
-
 def normalised(text: Column) -> Column:
     """Without white space; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
 
 
-def filter_bits(rows: int, bits_per_row: int = 16, max_bits: int = 1 << 28) -> int:
-    bits = BITMAP
-    while bits < rows * bits_per_row and bits < max_bits:
-        bits *= 2
-    return bits
-
-
-def _positions(hash_col: Column, bits: int) -> list[Column]:
-    return [F.pmod(hash_col, F.lit(bits)), F.pmod(F.xxhash64(hash_col, F.lit(7)), F.lit(bits))]
-
-
-def position_pair(hash_col: Column, bits: int) -> Column:
-    return F.array(*[p.cast("long") for p in _positions(hash_col, bits)])
-
-
-def _set_in(bitmap: Column, position: Column) -> Column:
-    """Whether the bit of a position is set; false without a bitmap."""
-    bit = F.pmod(position, F.lit(BITMAP))
-    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    shifted = F.call_function("shiftright", byte, F.pmod(bit, F.lit(8)).cast("int"))
-    return F.coalesce(shifted.bitwiseAND(F.lit(1)) == 1, F.lit(False))
-
-
-def _bitmaps(positions: DataFrame) -> DataFrame:
-    """(bucket, bitmap) of distinct positions p."""
-    return positions.groupBy(F.floor(F.col("p") / BITMAP).cast("long").alias("bucket")).agg(F.call_function("bitmap_construct_agg", F.pmod(F.col("p"), F.lit(BITMAP))).alias("bitmap"))
-
-
-def repeated_filter(hashes: DataFrame, hash_col: str, bits: int) -> DataFrame:
-    """(bucket, bitmap) of the positions that two rows or more have set."""
-    twice = hashes.select(F.explode(position_pair(F.col(hash_col), bits)).alias("p")).groupBy("p").agg(F.count("*").alias("n"))
-    return _bitmaps(twice.filter("n > 1"))
-
-
-def filter_of(hashes: DataFrame, hash_col: str, bits: int) -> DataFrame:
-    """(bucket, bitmap) of the positions of all hashes."""
-    return _bitmaps(hashes.select(F.explode(position_pair(F.col(hash_col), bits)).alias("p")))
-
-
-def probed(rows: DataFrame, hash_col: str, maps: DataFrame, bits: int) -> DataFrame:
-    """rows with `maybe`: whether the filter holds both positions of the hash. The bitmaps have bits / 8 bytes at
-    most, so this broadcast is bounded whatever the input."""
-    for k, position in enumerate(_positions(F.col(hash_col), bits)):
-        side = F.broadcast(maps.select(F.col("bucket").alias(f"_b{k}"), F.col("bitmap").alias(f"_m{k}")))
-        rows = rows.join(side, F.floor(position / BITMAP).cast("long") == F.col(f"_b{k}"), "left").withColumn(f"_hit{k}", _set_in(F.col(f"_m{k}"), position)).drop(f"_b{k}", f"_m{k}")
-    return rows.withColumn("maybe", F.col("_hit0") & F.col("_hit1")).drop("_hit0", "_hit1")
-
-
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_bits: int = 1 << 28) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = BITS_PER_ROW, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per row of docs: id, keep_id, group_size, kept, text_sha256, text_length.
 
     Texts are equal when they are identical without white space; a null text is an empty one, and all empty
@@ -82,9 +37,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sha = F.sha2(normalised(F.col(text_col)), 256)
     slim = docs.select(F.col(id_col).alias("id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"), F.unhex(sha).alias("sha"))
     slim = park(slim.withColumn("h", F.xxhash64("sha")), "hashes")
-    bits = filter_bits(slim.count(), bits_per_row, max_bits)
-    maps = park(repeated_filter(slim, "h", bits), "filter")
-    tested = probed(slim, "h", maps, bits)
+    tested = possibly_repeated(slim, "h", bits_per_row, max_bits)
     single = tested.filter("not maybe").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha", "n")
     rows = park(tested.filter("maybe").groupBy("sha", "id", "n").agg(F.count("*").alias("copies")), "possible")
     best = rows.groupBy("sha").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("id").isNull().alias("none"), F.col("id").alias("id"))).alias("best"), F.sum("copies").alias("group_size"))
@@ -95,20 +48,23 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return single.unionByName(shared).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"), F.col("n").alias("text_length"))
 
 
+#: Most dropped keys (a hash as text among them) that are broadcast.
+MOST_DROPPED = MOST_IDS // 4
+
+
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns. Rows that stay pass without a shuffle as long as the
-    dropped keys are few enough to broadcast. A row is known by its id, length and hash, so repeated ids do no
-    harm; of rows that repeat all three, one stays."""
+    """The rows of docs that stay, with all their columns. Rows pass without a shuffle while the dropped keys are few
+    enough to broadcast, and beyond that unless a filter takes them for dropped ones. A row is known by its id, length
+    and hash, so repeated ids do no harm; of rows that repeat all three, one stays."""
     name, size, sha, stays, rows = fresh(docs, "_id", "_len", "_sha", "_stays", "_rows")
     verdicts = exact_groups(docs, id_col, text_col).filter("group_size > 1")
     keys = verdicts.groupBy(F.col(id_col).alias(name), F.col("text_length").alias(size), F.col("text_sha256").alias(sha))
     keys = park(keys.agg(F.max("kept").alias(stays), F.count("*").alias(rows)), "verdicts")
     text = F.coalesce(F.col(text_col), F.lit(""))
+    here = {name: F.col(id_col), size: F.length(text), sha: F.sha2(normalised(text), 256)}
     off = keys.filter(~F.col(stays) | (F.col(rows) > 1)).select(name, size, sha)
-    few = off.limit(MOST_IDS // 4 + 1).count() <= MOST_IDS // 4  # keys with a hash as text
-    here = [F.col(id_col).eqNullSafe(F.col(name)), F.length(text) == F.col(size), F.sha2(normalised(text), 256) == F.col(sha)]
-    plain = docs.join(F.broadcast(off) if few else off, here, "left_anti")
+    plain = apart(docs, off, here, MOST_DROPPED)
     again = keys.filter(F.col(stays) & (F.col(rows) > 1)).select(name, size, sha)
     if again.isEmpty():
         return plain
-    return plain.unionByName(docs.join(again, here).dropDuplicates([name, size, sha]).select(docs.columns))
+    return plain.unionByName(among(docs, again, here, MOST_DROPPED).dropDuplicates([name, size, sha]).select(docs.columns))

@@ -31,8 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluicebox.llm.bloom import BITMAP, among, apart, filter_bits, filter_of, position_pair
 from sluicebox.llm.common import MOST_IDS, batches_of, fresh, park, small_batches
-from sluicebox.llm.exact_dedup import BITMAP, filter_bits, filter_of, position_pair
 from sluicebox.llm.graph import components
 
 #: Shingles of a chunk that are sorted at once when repeated ones are looked for.

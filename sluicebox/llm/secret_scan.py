@@ -1,11 +1,13 @@
 """Secret scanning with an incremental blob ledger. [native]
 
-Every version of a path is addressed by the SHA-256 of its text. The ledger holds, for each pair of blob and rule
-version, the spans found. Only pairs that the ledger doesn't hold are scanned, once per blob however many paths and
-versions carry it, and the findings of a blob are joined back to all of its paths.
-
-A Bloom filter of bounded size holds the blobs that several versions carry or that the ledger knows. Texts that miss
-it are scanned where they are read; only the others are joined with the one path that stands for their blob.
+Every version of a path is addressed by the SHA-256 of its text. The ledger holds pairs of a blob and a rule version,
+with the spans found; a row of it lists all pairs of one blob that were scanned together. Only pairs that the ledger
+doesn't hold are scanned, once per blob however many paths and versions carry it, and the findings of a blob are
+joined back to all of its paths. A rule that changes is scanned alone.
+
+Filters of bounded size hold the blobs that several versions carry or that the ledger knows, and those of them that
+have pairs to scan. Texts that miss the first are scanned where they are read with all rules; of the others only those
+that pass the second are joined with the one path that stands for their blob.
 """
 
 from __future__ import annotations
@@ -15,11 +17,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluicebox.llm.bloom import MAX_BITS, among, filter_bits, filter_of, possibly_repeated, probed
 from sluicebox.llm.common import let, park
-from sluicebox.llm.exact_dedup import filter_bits, probed, repeated_filter
 
-#: Most blobs of several versions whose paths are broadcast, some 20 MB; beyond it their texts shuffle to them.
+#: Most blobs whose paths are broadcast, some 20 MB; beyond it texts that a filter takes for theirs shuffle to them.
 MOST_BLOBS = 100_000
+_FOUND = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
 @dataclass(frozen=True)
@@ -50,9 +53,9 @@ RULES = (
 BASE = ("assign", "access", "hex")
 
 
-def rules_version(rules: tuple[Rule, ...]) -> str:
+def rule_versions(rules: tuple[Rule, ...]) -> list[str]:
     """Names the rules and their versions, in order."""
-    return ",".join(f"{r.kind}:{r.version}" for r in rules)
+    return [f"{r.kind}:{r.version}" for r in rules]
 
 
 def spans(text: Column, rule: Rule) -> Column:
@@ -93,48 +96,66 @@ def versions(docs: DataFrame, path_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(path_col).alias("path"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("blob"))
 
 
+def _known(ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, rules, found) of the ledger's rows, as far as they are about these rules; ranks are those of now."""
+    now = F.array(*[F.lit(x) for x in rule_versions(rules)])
+    kinds = F.array(*[F.lit(r.kind) for r in rules])
+    held = ledger.select("blob", F.array_intersect("rules", now).alias("rules"), "found").filter(F.size("rules") > 0)
+    named = F.transform("rules", lambda x: F.substring_index(x, ":", 1))
+    mine = F.filter("found", lambda x: F.array_contains(named, x["kind"]))
+    ranked = F.transform(mine, lambda x: F.struct(x["start"].alias("start"), (F.array_position(kinds, x["kind"]) - 1).cast("int").alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")))
+    return held.select("blob", "rules", ranked.cast(_FOUND).alias("found"))
+
+
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(findings, new ledger rows).
 
     findings: one row per row of docs, as path, blob, and `found`, the array of (start, rank, end, kind) in order.
-    New ledger rows: blob, rules, found for each pair that the ledger (same columns, None: empty) didn't hold;
-    append them to it. Null texts are empty, repeated rows count each, and an empty table gives no rows. Other
-    columns are not read.
+    New ledger rows: blob, rules (kind:version of each) and found, for the pairs that the ledger (same columns, None:
+    empty) didn't hold; append them to it. Null texts are empty, repeated rows count each, and an empty table gives no
+    rows. Other columns are not read.
     """
-    version = rules_version(rules)
+    every = F.array(*[F.lit(x) for x in rule_versions(rules)])
     seen = park(versions(docs, path_col, text_col).withColumn("h", F.xxhash64("blob")), "versions")
-    known = None if ledger is None else ledger.filter(F.col("rules") == version).select("blob", "rules", "found")
-    hashes, rows = seen.select("h"), seen.count()
-    if known is not None:
-        before = known.select(F.xxhash64("blob").alias("h"))
-        hashes, rows = hashes.unionByName(before).unionByName(before), rows + 2 * known.count()
-    bits = filter_bits(rows)
-    maps = park(repeated_filter(hashes, "h", bits), "filter")
-    unseen = probed(seen, "h", maps, bits).filter("maybe").groupBy("blob").agg(F.min("path").alias("path"))
+    known = None if ledger is None else park(_known(ledger, rules), "known")
+    # Blobs of several versions, and those that the ledger knows: the others are scanned as they are met.
+    several = possibly_repeated(seen, "h").filter("maybe").groupBy("blob", "h").agg(F.count("*").alias("n")).filter("n > 1").select("blob", "h")
     if known is not None:
-        unseen = unseen.join(known.select("blob"), "blob", "left_anti")
+        several = several.unionByName(seen.join(known.select("blob").distinct(), "blob", "left_semi").select("blob", "h")).distinct()
+    several = park(several, "several")
+    bits = filter_bits(several.count(), max_bits=MAX_BITS)
+    maps = park(filter_of(several, "h", bits), "filter")
+    apart = probed(seen, F.col("h"), maps, bits)
+    unseen = apart.filter("maybe").groupBy("blob").agg(F.min("path").alias("path"))
+    if known is None:
+        unseen = unseen.withColumn("missing", every)
+    else:
+        held = known.groupBy("blob").agg(F.flatten(F.collect_set("rules")).alias("held"))
+        unseen = unseen.join(held, "blob", "left").withColumn("missing", F.array_except(every, F.coalesce("held", F.array().cast("array<string>")))).filter(F.size("missing") > 0).drop("held")
     unseen = park(unseen, "unseen")
-    if unseen.limit(MOST_BLOBS + 1).count() <= MOST_BLOBS:
-        unseen = F.broadcast(unseen)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.col(path_col).alias("_path"), text.alias("_text"), F.unhex(F.sha2(text, 256)).alias("_blob"))
-    texts = probed(texts.withColumn("_h", F.xxhash64("_blob")), "_h", maps, bits)
-    # A blob that one version carries and the ledger doesn't know is certain to miss no scan here.
-    alone = texts.filter("not maybe").select(F.col("_blob").alias("blob"), "_text")
-    # One path stands for each of the others. A path with several versions is told apart by the address itself.
-    first = texts.filter("maybe").join(unseen, F.col("_path").eqNullSafe(F.col("path")) & (F.col("_blob") == F.col("blob"))).select("blob", "_text")
 
     def scanned(rows: DataFrame) -> DataFrame:
+        """rows (blob, missing, _text) as rows of the ledger."""
+        wanted = lambda r, found: F.when(F.array_contains("missing", f"{r.kind}:{r.version}"), found).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
         names = {r.kind: F.col(f"_{r.kind}") for r in rules}
-        rows = rows.select("blob", *[spans(F.col("_text"), r).alias(f"_{r.kind}") for r in rules])
-        return rows.select("blob", F.lit(version).alias("rules"), _listed(rules, names, tuple(names)).alias("found"))
-
-    # A row that repeats path and text is scanned with its twin; blobs stay unique in the ledger.
-    new = scanned(alone).unionByName(scanned(first).groupBy("blob", "rules").agg(F.first("found").alias("found")))
-    new = park(new, "ledger")
-    known = new if known is None else new.unionByName(known)
-    hits = park(known.filter(F.size("found") > 0).select("blob", "found"), "hits")
-    empty = F.array().cast(hits.schema["found"].dataType)
+        rows = rows.select("blob", "missing", *[wanted(r, spans(F.col("_text"), r)).alias(f"_{r.kind}") for r in rules])
+        return rows.select("blob", F.col("missing").alias("rules"), _listed(rules, names, tuple(names)).cast(_FOUND).alias("found"))
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    new = None
+    if not unseen.isEmpty() or not apart.filter("not maybe").isEmpty():
+        texts = docs.select(F.col(path_col).alias("_path"), text.alias("_text"), F.unhex(F.sha2(text, 256)).alias("_blob"))
+        texts = probed(texts, F.xxhash64("_blob"), maps, bits)
+        alone = texts.filter("not maybe").select(F.col("_blob").alias("blob"), every.alias("missing"), "_text")
+        # One path stands for each of the others. A path with several versions is told apart by the address itself.
+        first = among(texts.filter("maybe"), unseen, {"path": F.col("_path"), "blob": F.col("_blob")}, MOST_BLOBS).select("blob", "missing", "_text")
+        # A row that repeats path and text is scanned with its twin; pairs stay unique in the ledger.
+        new = scanned(alone).unionByName(scanned(first).groupBy("blob", "rules").agg(F.first("found").alias("found")))
+    new = park(new, "ledger") if new is not None else docs.sparkSession.createDataFrame([], f"blob binary, rules array<string>, found {_FOUND}")
+    all_ = new if known is None else new.unionByName(known)
+    hits = all_.filter(F.size("found") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+    hits = park(hits, "hits")
+    empty = F.array().cast(_FOUND)
     found = seen.join(hits, "blob", "left").select("path", "blob", F.coalesce("found", empty).alias("found"))
     return found, new
 

@@ -3,7 +3,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from sluicebox.llm.secret_scan import BASE, RULES, Rule, as_text, rules_version, scan
+from sluicebox.llm import bloom, secret_scan
+from sluicebox.llm.secret_scan import BASE, RULES, Rule, as_text, rule_versions, scan
 
 PATTERNS = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 6),
@@ -43,7 +44,30 @@ def test_scan_and_ledger(spark):
     assert [bytes(r.blob) for r in added.collect()] == [hashlib.sha256(b"token=newone1").digest()]
     got = {r.path: r.base for r in again.select("path", as_text(F.col("found"), BASE).alias("base")).filter("path >= 500").collect()}
     assert got == {500: "assign:0:13", 501: brute(TEXTS[1])}
-    # A new version of a rule scans everything again.
-    rules = (*RULES[:2], Rule("hex", r"[0-9a-f]{30,}", version=2), *RULES[3:])
-    assert rules_version(rules) != rules_version(RULES) and scan(docs, ledger, rules)[1].count() == len(blobs)
+    # Nothing is left to scan in a third.
+    whole = ledger.unionByName(added)
+    third, none = scan(more, whole)
+    key = lambda r: (str(r.path), bytes(r.blob), str(r.found))
+    assert none.collect() == [] and sorted(map(key, third.collect())) == sorted(map(key, again.collect()))
+    # A new version of a rule is scanned alone, for every blob; what the others found stays.
+    rules = (Rule("hex", r"[0-9a-f]{30,}", version=2), *RULES[3:], *RULES[:2])
+    other, renewed = scan(docs, ledger, rules)
+    rows = renewed.collect()
+    assert sorted(bytes(r.blob) for r in rows) == sorted(blobs) and {tuple(r.rules) for r in rows} == {("hex:2",)}
+    assert sorted(map(key, other.collect())) == sorted(map(key, scan(docs, None, rules)[0].collect()))
+    assert rule_versions(rules)[0] == "hex:2" and all(x.end - x.start >= 30 for r in rows for x in r.found)
     assert scan(docs.limit(0))[0].collect() == [] and scan(docs.limit(0))[1].collect() == []
+
+
+def test_far_side_of_the_bounds(spark, monkeypatch):
+    """Nothing broadcast, and filters too small: the same findings, each pair scanned once."""
+    rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(100 + i, TEXTS[i % 5], "x") for i in range(40)] + [(None, TEXTS[1], "x"), (None, TEXTS[1], "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, path string")
+    want = sorted((str(r.path), str(r.found)) for r in scan(docs)[0].collect())
+    monkeypatch.setattr(secret_scan, "MOST_BLOBS", 0)
+    monkeypatch.setattr(bloom, "BITMAP", 8)
+    monkeypatch.setattr(secret_scan, "MAX_BITS", 8)
+    found, ledger = scan(docs)
+    assert sorted((str(r.path), str(r.found)) for r in found.collect()) == want
+    assert ledger.count() == len({t or "" for _, t, _ in rows})
+    assert sorted((str(r.path), str(r.found)) for r in scan(docs, ledger)[0].collect()) == want
