@@ -44,7 +44,8 @@ MOST_COMMON = 1 << 19
 PAIRS = 128
 #: Most candidate sets whose ids are broadcast to find their signatures.
 MOST_SIGNED = 500_000
-#: Most documents with candidates whose ids are broadcast to find their texts again, some 20 MB.
+#: Most documents with candidates whose ids are broadcast to find their texts again, some 20 MB; beyond it only texts
+#: that a filter takes for theirs shuffle.
 MOST_NODES = 300_000
 #: Most bits of the filter of shared shingles. One that is too small for its rows lets more rows through.
 MOST_BITS = 1 << 28
@@ -267,9 +268,8 @@ class NgramJoin:
         """(node, items) of the sets in the pairs, from their texts. Rows that repeat id and text repeat here."""
         wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         wanted = park(self.nodes.join(wanted, F.col("row") == F.col("node")).select("node", F.col("id").alias("_id"), F.col("text_hash").alias("_hash")), "wanted")
-        few = wanted.limit(MOST_NODES + 1).count() <= MOST_NODES
         texts = self.docs.select(F.col(self.id_col).alias("id"), F.col(self.text_col).alias("_text"))
-        texts = texts.join(F.broadcast(wanted) if few else wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.xxhash64("_text") == F.col("_hash"))).select("node", "_text")
+        texts = among(texts, wanted, {"_id": F.col("id"), "_hash": F.xxhash64("_text")}, MOST_NODES).select("node", "_text")
         k = self.k
 
         def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,15 +367,14 @@ class NgramJoin:
         rows = self.groups().select("row", "leads").join(self.nodes.select("row", "id", "text_hash", "n"), "row")
         keys = rows.groupBy(F.col("id").alias(name), F.col("text_hash").alias(digest))
         keys = park(keys.agg(F.max("leads").alias(stays), F.count("*").alias(copies), F.max("n").alias(size)), "verdicts")
-        here = F.col(self.id_col).eqNullSafe(F.col(name)) & (F.xxhash64(F.col(self.text_col)) == F.col(digest))
+        here = {name: F.col(self.id_col), digest: F.xxhash64(F.col(self.text_col))}
         repeated = (F.col(copies) > 1) & (F.col(size) > 0)
         off = keys.filter(~F.col(stays) | repeated).select(name, digest)
-        few = off.limit(MOST_IDS + 1).count() <= MOST_IDS
-        plain = docs.join(F.broadcast(off) if few else off, here, "left_anti")
+        plain = apart(docs, off, here, MOST_IDS)
         again = keys.filter(F.col(stays) & repeated).select(name, digest)
         if again.isEmpty():
             return plain
-        return plain.unionByName(docs.join(again, here).dropDuplicates([name, digest]).select(docs.columns))
+        return plain.unionByName(among(docs, again, here, MOST_IDS).dropDuplicates([name, digest]).select(docs.columns))
 
 
 def ngram_join(docs: DataFrame, **options) -> NgramJoin:

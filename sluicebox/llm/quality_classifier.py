@@ -13,10 +13,10 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sluicebox.llm.common import MOST_IDS, fresh, park, small_batches
 from sluicebox.llm.quality_rules import FUNCTION_WORDS, SYMBOLS
@@ -26,6 +26,8 @@ CUTS = (0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.95, 0.98
 _UPPER, _DIGIT, _SYMBOL, _POINT = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", SYMBOLS.encode(), b".,;:!?"
 _FREQUENT = frozenset(FUNCTION_WORDS.split())
 WIDTH = 12
+#: Most pairs of host and path that are broadcast.
+MOST_SITES = MOST_IDS // 8
 
 
 def measures(text: str | None) -> list[float] | None:
@@ -125,54 +127,72 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
+def _evidence(docs: DataFrame, model: Scorecard, text: Column) -> Column:
+    """The probability that a text alone gives; null without words. Only texts go to the workers and back comes one
+    number each, so a row's other columns stay where they are."""
+    small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        rows = [measures(t) if isinstance(t, str) else None for t in texts.tolist()]
+        full = [r for r in rows if r]
+        found = iter(sent.value.probability(np.array(full)).tolist() if full else [])
+        return pd.Series([next(found) if r else None for r in rows], dtype="float64")
+
+    return score.asNondeterministic()(text)
+
+
+class Sites:
+    """Posteriors of hosts, and of paths within hosts, over parked rows with columns of host, path and evidence."""
+
+    def __init__(self, scored: DataFrame, host: str, path: str, own: str):
+        self.host, self.path, self.own = host, path, own
+        full = scored.filter(F.col(own).isNotNull())
+        paths = park(full.groupBy(F.col(host).alias("_host"), F.col(path).alias("_path")).agg(F.count("*").alias("n"), F.sum(own).alias("s")), "paths")
+        total = full.agg(F.count(own), F.avg(own), F.var_pop(own)).first()
+        self.rate, spread = (total[1], total[2]) if total[0] else (0.5, 0.25)
+        hosts = paths.groupBy(F.col("_host").alias("_h")).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+        self.k_host = _strength(hosts, F.col("s") / F.col("n"), F.lit(self.rate), spread)
+        hosts = hosts.select("_h", F.col("n").alias("hn"), F.col("s").alias("hs"))
+        sites = paths.join(hosts, F.col("_host").eqNullSafe(F.col("_h"))).drop("_h")
+        self.k_path = _strength(sites, F.col("s") / F.col("n"), (F.col("hs") + self.k_host * self.rate) / (F.col("hn") + self.k_host), spread)
+        self.table = park(sites.select("_host", "_path", "n", "s", "hn", "hs"), "sites")
+        self.few = self.table.limit(MOST_SITES + 1).count() <= MOST_SITES
+
+    def rated(self, rows: DataFrame, names: tuple[str, str, str]) -> DataFrame:
+        """rows with the host's posterior, the path's, both without the row's own share, and the quality."""
+        at_host, at_path, quality = names
+        h, p, n, s, hn, hs = fresh(rows, "_h", "_p", "_n", "_s", "_hn", "_hs")
+        sites = self.table.select(F.col("_host").alias(h), F.col("_path").alias(p), F.col("n").alias(n), F.col("s").alias(s), F.col("hn").alias(hn), F.col("hs").alias(hs))
+        both = rows.join(F.broadcast(sites) if self.few else sites, F.col(self.host).eqNullSafe(F.col(h)) & F.col(self.path).eqNullSafe(F.col(p)), "left")
+        own = F.col(self.own)
+        both = both.withColumn(at_host, (F.col(hs) - own + self.k_host * self.rate) / (F.col(hn) - 1 + self.k_host))
+        both = both.withColumn(at_path, (F.col(s) - own + self.k_path * F.col(at_host)) / (F.col(n) - 1 + self.k_path))
+        odds = _logit(own) + _logit(F.col(at_path)) - _logit(F.lit(self.rate))
+        return both.withColumn(quality, F.when(own.isNull(), 0.0).otherwise(1 / (1 + F.exp(-odds)))).drop(h, p, n, s, hn, hs)
+
+
 def classify(docs: DataFrame, model: Scorecard, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, threshold: float = 0.5) -> DataFrame:
     """One row per row of docs: id, doc_quality (own evidence), host_quality and path_quality (shrunk posteriors
-    without the document's own share), quality, kept, and text_hash, which with the id names the row.
+    without the document's own share), quality, and kept, which is true at the threshold and above.
 
     host and path default to the columns source and lang: a host's documents in one language are its path here.
     Null hosts and paths are groups like others. A text without words has quality 0 and isn't kept, and says
     nothing about its site. Rows that repeat count each. Other columns are not read; an empty table gives no rows.
     """
     host, path = F.col("source") if host is None else host, F.col("lang") if path is None else path
-    slim = docs.select(F.col(id_col), host.cast("string").alias("_host"), path.cast("string").alias("_path"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("_text"))
-    small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    slim = docs.select(F.col(id_col).alias("id"), host.cast("string").alias("host"), path.cast("string").alias("path"), _evidence(docs, model, F.col(text_col)).alias("doc_quality"))
+    scored = park(slim, "evidence")
+    rated = Sites(scored, "host", "path", "doc_quality").rated(scored, ("host_quality", "path_quality", "quality"))
+    return rated.select(F.col("id").alias(id_col), "doc_quality", "host_quality", "path_quality", "quality", (F.col("quality") >= threshold).alias("kept"))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [measures(t) for t in batch.column(4).to_pylist()]
-            full = [r for r in rows if r]
-            found = iter(sent.value.probability(np.array(full)).tolist() if full else [])
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array([next(found) if r else None for r in rows], pa.float64())], names=[id_col, "_host", "_path", "text_hash", "doc_quality"])
-
-    schema = T.StructType([*slim.schema[:4], T.StructField("doc_quality", T.DoubleType())])
-    scored = park(slim.mapInArrow(score, schema), "evidence")
-    paths = park(scored.filter("doc_quality is not null").groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("doc_quality").alias("s")), "paths")
-    total = scored.agg(F.count("doc_quality"), F.avg("doc_quality"), F.var_pop("doc_quality")).first()
-    rate, spread = (total[1], total[2]) if total[0] else (0.5, 0.25)
-    hosts = paths.groupBy(F.col("_host").alias("_h")).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    k_host = _strength(hosts, F.col("s") / F.col("n"), F.lit(rate), spread)
-    hosts = hosts.select("_h", F.col("n").alias("hn"), F.col("s").alias("hs"))
-    sites = paths.join(hosts, F.col("_host").eqNullSafe(F.col("_h"))).drop("_h")
-    k_path = _strength(sites, F.col("s") / F.col("n"), (F.col("hs") + k_host * rate) / (F.col("hn") + k_host), spread)
-    sites = park(sites.select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), "n", "s", "hn", "hs"), "sites")
-    few = sites.limit(MOST_IDS // 8 + 1).count() <= MOST_IDS // 8
-    both = scored.join(F.broadcast(sites) if few else sites, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p")), "left")
-    own = F.col("doc_quality")
-    at_host = (F.col("hs") - own + k_host * rate) / (F.col("hn") - 1 + k_host)
-    at_path = (F.col("s") - own + k_path * F.col("host_quality")) / (F.col("n") - 1 + k_path)
-    both = both.withColumn("host_quality", at_host).withColumn("path_quality", at_path)
-    odds = _logit(own) + _logit(F.col("path_quality")) - _logit(F.lit(rate))
-    both = both.withColumn("quality", F.when(own.isNull(), 0.0).otherwise(1 / (1 + F.exp(-odds))))
-    return both.select(id_col, "doc_quality", "host_quality", "path_quality", "quality", (F.col("quality") >= threshold).alias("kept"), "text_hash")
-
-
-def keep_good(docs: DataFrame, model: Scorecard, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that the classifier keeps, with all their columns. The rejected ones are named by id and
-    hash of the text; while they are few enough to broadcast, the others don't shuffle."""
-    name, digest = fresh(docs, "_id", "_hash")
-    gone = classify(docs, model, id_col, text_col, **options).filter("not kept")
-    gone = park(gone.select(F.col(id_col).alias(name), F.col("text_hash").alias(digest)).distinct(), "rejected")
-    few = gone.limit(MOST_IDS + 1).count() <= MOST_IDS
-    here = F.col(id_col).eqNullSafe(F.col(name)) & (F.xxhash64(F.col(text_col)) == F.col(digest))
-    return docs.join(F.broadcast(gone) if few else gone, here, "left_anti")
+
+def keep_good(docs: DataFrame, model: Scorecard, text_col: str = "text", host: Column | None = None, path: Column | None = None, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that classify() keeps, with all their columns. Rows are written once beside their evidence and
+    filtered as they are read: while sites are few enough to broadcast, texts don't shuffle at all."""
+    host, path = F.col("source") if host is None else host, F.col("lang") if path is None else path
+    h, p, own, *names = fresh(docs, "_host", "_path", "_own", "_at_host", "_at_path", "_quality")
+    scored = park(docs.withColumns({h: host.cast("string"), p: path.cast("string")}).withColumn(own, _evidence(docs, model, F.col(text_col))), "evidence")
+    rated = Sites(scored, h, p, own).rated(scored, tuple(names))
+    return rated.filter(F.col(names[2]) >= threshold).select(docs.columns)

@@ -4,6 +4,7 @@ import re
 import pytest
 
 from sluicebox.llm.graph import components
+import sluicebox.llm.ngram_join as ngram_module
 from sluicebox.llm.ngram_join import ngram_join, overlap_bound, shingles, signature
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -71,6 +72,19 @@ def test_against_brute_force(spark, rows, k, num, den):
     assert len({r[2] for r in got if r[1]}) + sum(not r[1] for r in got) == len(kept)
 
 
+def test_far_side_of_the_bounds(spark, rows, monkeypatch):
+    """Nothing broadcast, and filters too small: the same groups, and the same rows stay."""
+    for name in ("MOST_IDS", "MOST_SIGNED", "MOST_NODES", "MOST_COMMON"):
+        monkeypatch.setattr(ngram_module, name, 0)
+    monkeypatch.setattr(ngram_module, "MOST_BITS", 1 << 15)
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, component_id string")
+    join = ngram_join(docs, k=4, num=85, den=100)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in join.groups().collect())
+    assert got == brute(rows, 4, 85, 100)
+    kept = join.first_of_each()
+    assert kept.columns == docs.columns and kept.count() == join.groups().filter("leads").count()
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join(docs).groups().collect() == [] and ngram_join(docs).first_of_each().collect() == []
