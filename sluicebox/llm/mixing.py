@@ -7,42 +7,29 @@ more shard settles what they leave short, so that every source ends at its targe
 block p(j mod blocks) of round j div blocks, where p is a pseudorandom permutation of the block indices for that
 source and round (a Feistel network, walked until it lands inside), and blocks join slots by index.
 
-Nothing is grouped by source alone but tables of at most one row per chunk of documents or per shard, so that a
-source with a third of all rows is dealt out like the others.
+Places of documents in their source's stream, and of a shard's slots among those of its source, are running totals
+over a total order, so that a source with a third of all rows is dealt out like the others.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
 from sluicebox.llm.common import WORD, fresh, park, small_batches, word_count
+from sluicebox.storage import global_index, running_totals
 
-#: Positions are summed within chunks of the order first and then over the chunks: of about so many documents, but
-#: no more chunks than MOST_CHUNKS, since one task sums over a source's chunks.
-CHUNK, MOST_CHUNKS = 500, 20_000
-#: Sources have weights, which somebody writes down; more of them than this is an error rather than a larger driver.
-MOST_SOURCES = 200_000
-
-
-@dataclass(frozen=True)
-class Source:
-    name: str | None
-    size: int
-    weight: float
-    target: float
-    blocks: int
-    slots: int
-    #: Words that the last slot takes; 0 if it takes its whole block.
-    last: int
+#: Most sources whose targets are worked out on the driver and whose shares are broadcast. With more of them both are
+#: done by aggregates and joins; targets and slots are the same.
+MOST_SOURCES = 100_000
+#: Slots that one row is exploded to.
+RUN = 10_000
 
 
 def targets(sizes: list[int], weights: list[float], most: float) -> list[float]:
@@ -85,69 +72,102 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
 
 
 class Mix:
-    """The mix of a table: `sources`, and as DataFrames `slots`, `pieces` and `taken`."""
+    """The mix of a table: `table` of its sources, and as DataFrames `rows`, `slots`, `pieces` and taken()."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (1, 2, 3), block: int = 256, shard: int = 512, most: float = 3, seed: int = 1):
-        """Sources by code point, null last, have the weights in turn. `most` bounds how often a document is
-        taken and is a whole number. Null texts have no words. Rows that repeat count each. An empty table has no sources and
-        no slots. Other columns are not read."""
+        """Sources by code point, null last, have the weights in turn; there may be any number of them. `most` bounds
+        how often a document is taken and is a whole number. Null texts have no words. Rows that repeat count each. An
+        empty table has no sources and no slots. Other columns are not read."""
         self.docs, self.id_col, self.text_col, self.block, self.shard, self.seed = docs, id_col, text_col, block, shard, seed
         self.spark = docs.sparkSession
         slim = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("h"))
         slim = park(slim, "sizes")
-        rows = slim.count()
-        found = slim.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
-        if len(found) > MOST_SOURCES:
-            raise ValueError(f"more than {MOST_SOURCES} sources")
-        found = sorted(((r["source"], int(r["size"])) for r in found), key=lambda x: (x[0] is None, str(x[0])))
-        own = [float(weights[i % len(weights)]) for i in range(len(found))]
-        self.sources = []
-        for (name, size), weight, target in zip(found, own, targets([s for _, s in found], own, most)):
-            blocks = -(-size // block)
-            words = min(round(target), int(most * size))
-            full, rest = divmod(words, size) if size else (0, 0)
-            self.sources.append(Source(name, size, weight, target, blocks, full * blocks + -(-rest // block), (rest - 1) % block + 1 if rest else 0))
-        # One row per source, of which there are at most MOST_SOURCES.
-        table = [(i, s.name, s.size, s.target, s.blocks, s.slots, s.last) for i, s in enumerate(self.sources)]
-        kind = T.StructType([T.StructField("sid", T.IntegerType()), T.StructField("source", slim.schema["source"].dataType), *(T.StructField(n, t) for n, t in (("source_size", T.LongType()), ("target", T.DoubleType()), ("blocks", T.LongType()), ("slots", T.LongType()), ("last", T.LongType())))])
-        self.table = F.broadcast(self.spark.createDataFrame(table, kind))
-        named = slim.join(self.table.select("sid", F.col("source").alias("_s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-        self.rows = park(self._placed(named.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(1, min(MOST_CHUNKS, rows // CHUNK))))).drop("source")), "rows")
+        sums = park(slim.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+        self.few = sums.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES
+        wanted = self._targets_here(sums, weights, most) if self.few else self._targets_there(sums, weights, most)
+        size, words = F.col("source_size"), F.least(F.round("target").cast("long"), F.col("source_size") * int(most))
+        full, rest = F.floor(words / F.greatest(size, F.lit(1))).cast("long"), words % F.greatest(size, F.lit(1))
+        blocks = F.ceil(size / F.lit(block)).cast("long")
+        slots = full * blocks + F.ceil(rest / F.lit(block)).cast("long")
+        last = F.when(rest > 0, (rest - 1) % block + 1).otherwise(0).cast("long")
+        self.table = park(wanted.select("sid", "source", "source_size", "target", blocks.alias("blocks"), slots.alias("slots"), last.alias("last")), "table")
+        named = slim.join(self._side("sid", F.col("source").alias("_s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "source")
+        # A document's first word in its source's stream: a sum over a total order, whatever the size of the source.
+        placed = running_totals(named, "sid", {"start": F.col("size")}, F.xxhash64("id", F.lit(seed)), F.col("id"), F.col("h"), F.col("size"))
+        self.rows = park(placed, "rows")
         self.slots = park(self._slots(), "slots")
         self.pieces = self._pieces()
 
-    def _placed(self, rows: DataFrame) -> DataFrame:
-        """With `start`, the place of a document's first word in its source's stream."""
-        sums = rows.groupBy("sid", "chunk").agg(F.sum("size").alias("n"))
-        before = W.partitionBy("sid").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-        sums = sums.select(F.col("sid").alias("_sid"), F.col("chunk").alias("_chunk"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-        inside = W.partitionBy("sid", "chunk").orderBy("id", "h", "size").rowsBetween(W.unboundedPreceding, -1)
-        rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        return rows.join(sums, (F.col("sid") == F.col("_sid")) & (F.col("chunk") == F.col("_chunk"))).withColumn("start", F.col("offset") + F.col("inside")).drop("_sid", "_chunk", "offset", "inside", "chunk")
+    def _side(self, *columns) -> DataFrame:
+        """Columns of the sources' table for a join, broadcast if there are few."""
+        side = self.table.select(*columns)
+        return F.broadcast(side) if self.few else side
+
+    def _targets_here(self, sums: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
+        found = sorted(((r["source"], int(r["source_size"])) for r in sums.collect()), key=lambda x: (x[0] is None, str(x[0])))
+        own = [float(weights[i % len(weights)]) for i in range(len(found))]
+        rows = [(i, name, size, target) for i, ((name, size), target) in enumerate(zip(found, targets([s for _, s in found], own, most)))]
+        kind = T.StructType([T.StructField("sid", T.LongType()), T.StructField("source", sums.schema["source"].dataType), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
+        return self.spark.createDataFrame(rows, kind)
+
+    def _targets_there(self, sums: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
+        """targets() as rounds of aggregates over the table of sources: each caps the sources above their bound."""
+        weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("sid") % len(weights) + 1).cast("int"))
+        rows = global_index(sums, F.col("source").isNull(), F.col("source"), name="sid").withColumn("weight", weight).withColumn("capped", F.lit(False))
+        bound = F.col("source_size") * float(most)
+        while True:
+            rows = park(rows, "targets")
+            total, taken, free = rows.agg(F.sum("source_size"), F.sum(F.when(F.col("capped"), bound).otherwise(0.0)), F.sum(F.when(~F.col("capped"), F.col("weight")).otherwise(0.0))).first()
+            share = (float(total) - taken) * F.col("weight") / F.lit(free or 1.0)
+            rows = rows.withColumn("target", F.when(F.col("capped"), bound).otherwise(share)).withColumn("over", ~F.col("capped") & (F.col("target") > bound))
+            if not free or rows.filter("over").isEmpty():
+                return rows.select("sid", "source", "source_size", "target")
+            rows = rows.withColumn("capped", F.col("capped") | F.col("over")).drop("target", "over")
+
+    def _drawn(self, total: int, shards: int) -> DataFrame:
+        """(shard, sid, n): multinomial source counts of every shard."""
+        seed, length = self.seed, self.shard
+        if self.few:
+            # One number per source, of which there are at most MOST_SOURCES.
+            known = sorted((r["sid"], r["slots"]) for r in self.table.select("sid", "slots").collect())
+            sent = self.spark.sparkContext.broadcast(np.array([n for _, n in known], np.int64))
+
+            def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                share = sent.value / max(1, total)
+                for batch in batches:
+                    out = []
+                    for shard in batch.column(0).to_numpy():
+                        n = np.random.Generator(np.random.Philox(key=[seed, int(shard)])).multinomial(min(length, total - int(shard) * length), share)
+                        sid = np.flatnonzero(n)
+                        out.append((np.full(len(sid), shard), sid, n[sid]))
+                    columns = [np.concatenate([x[k] for x in out] or [np.empty(0, np.int64)]) for k in range(3)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["shard", "sid", "n"])
+
+            return self.spark.range(shards).mapInArrow(draw, "shard long, sid long, n long")
+        # Each slot draws one of all places at random, and places belong to sources in the measure of their slots.
+        sources = running_totals(self.table.select("sid", "slots").withColumn("all", F.lit(0)), "all", {"at": F.col("slots")}, F.col("sid")).filter("slots > 0")
+        sources = sources.select("sid", F.col("at").alias("low"), (F.col("at") + F.col("slots")).alias("high"))
+        runs = sources.select("sid", "low", "high", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("high") - F.col("low") - 1) / RUN))).alias("k"))
+        low = F.col("low") + F.col("k") * RUN
+        places = runs.select("sid", F.explode(F.sequence(low, F.least(F.col("high"), low + RUN) - 1)).alias("place"))
+        slots = self.spark.range(total).select(F.floor(F.col("id") / length).cast("long").alias("shard"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)).alias("_place"))
+        return slots.join(places, F.col("_place") == F.col("place")).groupBy("shard", "sid").agg(F.count("*").alias("n"))
 
     def _slots(self) -> DataFrame:
         """(shard, sid, j, block, part): part is null for a slot that takes its whole block, else its words."""
-        wanted = np.array([s.slots for s in self.sources], np.int64)
-        total, seed, length = int(wanted.sum()), self.seed, self.shard
+        seed, length = self.seed, self.shard
+        total = int(self.table.agg(F.sum("slots")).first()[0] or 0)
         shards = -(-total // length)
-        names = ["shard", "sid", "n"]
-
-        def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            share = wanted / max(1, total)
-            for batch in batches:
-                for shard in batch.column(0).to_numpy():
-                    n = np.random.Generator(np.random.Philox(key=[seed, int(shard)])).multinomial(min(length, total - int(shard) * length), share)
-                    sid = np.flatnonzero(n)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sid), shard), pa.int64()), pa.array(sid, pa.int32()), pa.array(n[sid], pa.int64())], names=names)
-
-        drawn = park(self.spark.range(shards).mapInArrow(draw, "shard long, sid int, n long"), "draws")
-        before = W.partitionBy("sid").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-        drawn = drawn.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        info = self.table.select("sid", "blocks", "slots", "last")
+        drawn = running_totals(park(self._drawn(total, shards), "draws"), "sid", {"first": F.col("n")}, F.col("shard"))
+        info = self._side(F.col("sid").alias("_sid"), "blocks", "slots", "last")
         got = drawn.groupBy("sid").agg(F.sum("n").alias("got"))
-        short = info.join(got, "sid", "left").select(F.lit(shards).cast("long").alias("shard"), "sid", (F.col("slots") - F.coalesce("got", F.lit(0))).alias("n"), F.coalesce("got", F.lit(0)).alias("first")).filter("n > 0")
-        runs = drawn.unionByName(short).join(info, "sid").withColumn("n", F.least(F.col("n"), F.col("slots") - F.col("first"))).filter("n > 0")
-        each = runs.select("shard", "sid", "blocks", "slots", "last", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("j"))
+        left = self.table.select("sid", "slots").join(got, "sid", "left")
+        short = left.select(F.lit(shards).cast("long").alias("shard"), "sid", (F.col("slots") - F.coalesce("got", F.lit(0))).alias("n"), F.coalesce("got", F.lit(0)).alias("first")).filter("n > 0")
+        runs = drawn.select("shard", "sid", "n", "first").unionByName(short).join(info, F.col("sid") == F.col("_sid")).drop("_sid")
+        runs = runs.withColumn("n", F.least(F.col("n"), F.col("slots") - F.col("first"))).filter("n > 0")
+        pieces = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN))
+        runs = runs.withColumn("k", F.explode(pieces)).withColumn("from", F.col("first") + F.col("k") * RUN)
+        each = runs.select("shard", "sid", "blocks", "slots", "last", F.explode(F.sequence(F.col("from"), F.least(F.col("first") + F.col("n"), F.col("from") + RUN) - 1)).alias("j"))
         part = F.when((F.col("j") == F.col("slots") - 1) & (F.col("last") > 0), F.col("last"))
         each = each.select("shard", "sid", "j", "blocks", part.alias("part"))
 
@@ -159,7 +179,7 @@ class Mix:
                 key = (np.uint64(seed) << np.uint64(48)) ^ (sid.astype(np.uint64) << np.uint64(16)) ^ (j // blocks).astype(np.uint64)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(permuted(j % blocks, blocks, key), pa.int64()), batch.column(4)], names=["shard", "sid", "j", "block", "part"])
 
-        return each.mapInArrow(locate, "shard long, sid int, j long, block long, part long")
+        return each.mapInArrow(locate, "shard long, sid long, j long, block long, part long")
 
     def _pieces(self) -> DataFrame:
         """(sid, start, word, n, times, part): the words of one document in one block from its word `word` on, how
