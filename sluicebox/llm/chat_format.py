@@ -9,7 +9,8 @@ conversations, and the intervals of the stream that it attends to, those of its
 Equal conversations are one leaf. The conversations below one first turn make one tree as long as they have at most
 `pack` characters; larger ones are put in order of their sequences of turns, by hash, and cut into ranges of about
 that many, so no task holds more (or one conversation, which is one training record and is never cut). Turns that
-conversations on both sides of a cut share stand once in each range. Positions and intervals count code points.
+conversations on both sides of a cut share stand once in each range. Positions and intervals of packs count code
+points, and those of tokens() count tokens.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from sluicebox.llm.byte_bpe import codec
 from sluicebox.llm.common import park
 
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -32,7 +34,8 @@ _TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.S)
 _ESCAPED = re.compile(r"\\(.)", re.S)
 _INTERVAL = "struct<start:int,end:int>"
 PACKED = f"pack string, stream string, nodes array<struct<start:int,end:int,parent:int,position:int,attends:array<{_INTERVAL}>>>, loss array<{_INTERVAL}>, leaves array<struct<content:string,node:int>>"
-READ = "content string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+READ = "content string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, tree_nodes long, tree_chars long"
+TOKENS = f"pack string, ids array<int>, positions array<int>, nodes array<struct<start:int,end:int,attends:array<{_INTERVAL}>>>, loss array<{_INTERVAL}>, leaves array<struct<content:string,node:int>>"
 
 
 def escape(text: str) -> str:
@@ -90,6 +93,31 @@ def read_back(packed: dict) -> Iterator[tuple]:
         yield leaf["content"], turns, under, len(text)
 
 
+def tokenised(packed: dict, encode: Callable[[str], Iterable[int]]) -> dict:
+    """ids, positions, nodes and loss of a tree in tokens. A node's head, text and end are encoded one by one, so that
+    the loss mask lies on tokens of texts alone."""
+    stream, loss = packed["stream"], [(x["start"], x["end"]) for x in packed["loss"]]
+    ids, positions, nodes, masked = [], [], [], []
+    for node in packed["nodes"]:
+        before, first = nodes[node["parent"]] if node["parent"] >= 0 else None, len(ids)
+        under = _inside(loss, node["start"], node["end"])
+        cuts = [node["start"], *(x for span in under for x in span), node["end"]]
+        for a, b in zip(cuts, cuts[1:]):
+            at = len(ids)
+            ids.extend(map(int, encode(stream[a:b])))
+            if (a, b) in under and len(ids) > at:
+                masked.append({"start": at, "end": len(ids)})
+        depth = before["depth"] if before else 0
+        positions.extend(range(depth, depth + len(ids) - first))
+        attends = list(before["attends"]) if before else []
+        if attends and attends[-1]["end"] == first:
+            attends[-1] = {"start": attends[-1]["start"], "end": len(ids)}
+        else:
+            attends.append({"start": first, "end": len(ids)})
+        nodes.append({"start": first, "end": len(ids), "attends": attends, "depth": depth + len(ids) - first})
+    return {"ids": ids, "positions": positions, "nodes": [{k: n[k] for k in ("start", "end", "attends")} for n in nodes], "loss": masked}
+
+
 def _inside(spans: list[tuple[int, int]], start: int, end: int) -> list[tuple[int, int]]:
     return spans[bisect_left(spans, (start, 0)) : bisect_left(spans, (end, 0))]
 
@@ -145,9 +173,27 @@ class Chats:
 
         self.packs = one.groupBy("pack").applyInArrow(packed, PACKED)
 
+    def tokens(self, path: str) -> DataFrame:
+        """The packs as token ids (TOKENS) of the vocabulary at path: every node is encoded by itself, so that a
+        conversation's tokens are those of its turns one after the other wherever its tree branches. positions has
+        each token's place in its conversations; intervals, as in `packs`, count tokens."""
+
+        def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = codec(path)
+            interval = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+            node = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("attends", pa.list_(interval))])
+            kinds = {"pack": pa.string(), "ids": pa.list_(pa.int32()), "positions": pa.list_(pa.int32()), "nodes": pa.list_(node), "loss": pa.list_(interval), "leaves": pa.list_(pa.struct([("content", pa.string()), ("node", pa.int32())]))}
+            for batch in batches:
+                for row in batch.to_pylist():
+                    made = {"pack": row["pack"], "leaves": row["leaves"], **tokenised(row, own.encode)}
+                    yield pa.RecordBatch.from_arrays([pa.array([made[k]], t) for k, t in kinds.items()], names=list(kinds))
+
+        return self.packs.mapInArrow(encode, TOKENS)
+
     def read(self) -> DataFrame:
         """One row per conversation, read back from the packs: id, n_turns, turns_sha256 (role, line feed, text,
-        line feed for each turn), loss_chars and loss_sha256 (texts under the loss mask), formatted_chars."""
+        line feed for each turn), loss_chars and loss_sha256 (texts under the loss mask), formatted_chars, and of the
+        tree that it stands in tree_nodes and tree_chars, where shared turns count once."""
 
         def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = [x.split(" ")[0] for x in READ.split(", ")]
@@ -156,9 +202,9 @@ class Chats:
                 for row in batch.to_pylist():
                     for content, turns, under, size in read_back(row):
                         whole = "".join(f"{r}\n{t}\n" for r, t in turns)
-                        out.append((content, len(turns), hashlib.sha256(whole.encode()).hexdigest(), sum(map(len, under)), hashlib.sha256("".join(under).encode()).hexdigest(), size))
+                        out.append((content, len(turns), hashlib.sha256(whole.encode()).hexdigest(), sum(map(len, under)), hashlib.sha256("".join(under).encode()).hexdigest(), size, len(row["nodes"]), len(row["stream"])))
                 columns = list(zip(*out)) or [[] for _ in names]
-                kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+                kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
         # Written first, so that the exchange below a common conversation can be split.

@@ -1,8 +1,12 @@
 import hashlib
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from test_byte_bpe import PATH
+
+from sluicebox.llm.byte_bpe import Codec
 from sluicebox.llm.chat_format import build, escape, format_chats, format_turn, read_back, unescape
 
 TEXT = st.lists(st.sampled_from(list("ab\\|<>n\n ") + ["<|im_end|>", "<|im_start|>"]), max_size=8).map("".join)
@@ -59,3 +63,32 @@ def test_shared_turns_below_a_hot_prefix(spark):
     prefixes = {tuple(said(c, t) for t in range(k + 1)) for c in range(240) for k in range(6)}
     assert len(packs) > 8 and len(prefixes) <= sum(len(p.nodes) for p in packs) <= len(prefixes) + (len(packs) - 1) * 5
     assert sorted(leaf.content for p in packs for leaf in p.leaves) == sorted(r.content for r in made.members.collect())
+
+
+def test_tokens(spark):
+    """The tokens that a leaf attends to are those of its turns, at positions from 0 on, and shared ones stand once."""
+    said = lambda c, t: "be brief" if t == 0 else f"question {c % 3} of the family" if t == 1 else f"answer {c}"
+    rows = [(c, t, ("system", "user", "assistant")[t], said(c, t)) for c in range(12) for t in range(3)]
+    made = format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    (pack,) = made.tokens(PATH).collect()
+    codec = Codec(PATH)
+    flat = lambda c, t: [int(x) for part in (f"<|im_start|>{('system', 'user', 'assistant')[t]}\n", said(c, t), "<|im_end|>\n") for x in codec.encode(part)]
+    plain = lambda c, t: [int(x) for x in codec.encode(format_turn(("system", "user", "assistant")[t], said(c, t))[0])]
+    want = {tuple([*plain(c, 0), *plain(c, 1), *flat(c, 2)]) for c in range(12)}
+    got = set()
+    for leaf in pack.leaves:
+        at = [i for a in pack.nodes[leaf.node].attends for i in range(a.start, a.end)]
+        assert [pack.positions[i] for i in at] == list(range(len(at)))
+        got.add(tuple(pack.ids[i] for i in at))
+        under = [i for i in at if any(x.start <= i < x.end for x in pack.loss)]
+        assert codec.decode(np.array([pack.ids[i] for i in under])).decode().startswith("answer ")
+    assert got == want and len(pack.nodes) == 1 + 3 + 12 == len({tuple(said(c, k) for k in range(t + 1)) for c in range(12) for t in range(3)})
+
+
+def test_very_long(spark):
+    """One conversation larger than a pack is never cut, and very long texts stay whole."""
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "long <| \\ text " * 40_000), (2, 0, "user", "hi"), (2, 1, "assistant", "")] + [(3, t, "user", "x" * 50) for t in range(400)]
+    made = format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), pack=1000)
+    got = {r.conv_id: r for r in made.read().collect()}
+    assert got[1].loss_chars == len(rows[1][3]) and got[1].loss_sha256 == hashlib.sha256(rows[1][3].encode()).hexdigest()
+    assert got[2].loss_chars == 0 and got[3].n_turns == got[3].tree_nodes == 400

@@ -15,7 +15,7 @@ COLUMNS = {
     3: ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     4: ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
     5: ["doc_id", "size", "source_size", "target", "taken"],
-    6: ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
+    6: ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "tree_nodes", "tree_chars"],
     7: ["doc_id", "text", "n_entities"],
     8: ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
     9: ["doc_id", "quality", "kept"],
