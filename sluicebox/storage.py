@@ -53,6 +53,16 @@ def park(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def park_by(df: DataFrame, key: str, label: str) -> DataFrame:
+    """park(), with one folder for each of the few values of an integer key, so that a filter on it reads one."""
+    spark = df.sparkSession
+    path = f"{_own(spark)}/{uuid.uuid4().hex}/{label}"
+    df.write.partitionBy(key).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._parked = path.rsplit("/", 1)[0]
+    return out
+
+
 #: monotonically_increasing_id() holds the partition above these bits and the position in it below.
 _BITS = 33
 
