@@ -121,7 +121,8 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     # Blobs of several versions, and those that the ledger knows: the others are scanned as they are met.
     several = possibly_repeated(seen, "h").filter("maybe").groupBy("blob", "h").agg(F.count("*").alias("n")).filter("n > 1").select("blob", "h")
     if known is not None:
-        several = several.unionByName(seen.join(known.select("blob").distinct(), "blob", "left_semi").select("blob", "h")).distinct()
+        # Distinct first: a blob that very many paths carry is one row in the join.
+        several = several.unionByName(seen.select("blob", "h").distinct().join(known.select("blob"), "blob", "left_semi")).distinct()
     several = park(several, "several")
     bits = filter_bits(several.count(), max_bits=MAX_BITS)
     maps = park(filter_of(several, "h", bits), "filter")
