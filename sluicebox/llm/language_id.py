@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 
 from sluicebox.llm.common import MOST_IDS, park, small_batches
 
-#: Sums of n-grams and languages that are looked up at once, which bounds the memory of a batch or a very long text.
-SLICE = 1 << 22
+#: n-grams that are looked up at once: few enough to stay in a processor's cache, whatever the batch or the text.
+SLICE = 1 << 14
 #: Most bytes of a matrix that is broadcast.
 MOST_BYTES = 64 << 20
 
@@ -65,25 +65,25 @@ def buckets(points: np.ndarray, orders: tuple[int, ...], bits: int) -> np.ndarra
 
 
 class Part:
-    """Some of the learned languages, in code point order, with their prior and the float32 matrix buckets x languages
-    of log-probabilities."""
+    """Some of the learned languages, in code point order, with their prior and the matrix buckets x languages of
+    log-probabilities."""
 
     def __init__(self, languages: list[str], counts: np.ndarray, prior: np.ndarray, orders: tuple[int, ...], bits: int, alpha: float = 0.5):
         self.languages, self.prior, self.orders, self.bits = languages, prior, orders, bits
         smooth = counts + alpha
-        self.logp = np.ascontiguousarray(np.log(smooth / smooth.sum(axis=1, keepdims=True)).T.astype(np.float32))
+        self.logp = np.ascontiguousarray(np.log(smooth / smooth.sum(axis=1, keepdims=True)).T)
 
     def totals(self, texts: list[str | None]) -> np.ndarray:
         """texts x languages: log of prior and likelihood; -inf in all of them for a text without a letter. The
         totals of a text don't depend on the others in its batch."""
         out = np.full((len(texts), len(self.languages)), -np.inf)
-        most, held, size = max(1, SLICE // len(self.languages)), [], 0
+        held, size = [], 0
         for i, text in enumerate(texts):
             points = codes(text)
             if not len(points):
                 continue
             out[i] = self.prior
-            if held and size + len(points) > most:
+            if held and size + len(points) > SLICE:
                 self._add(out, held)
                 held, size = [], 0
             held.append((i, points))
@@ -96,16 +96,15 @@ class Part:
         """Adds the n-grams of some texts, or of one long one, to their totals."""
         rows, lengths = np.array([i for i, _ in held]), np.array([len(p) for _, p in held])
         points, owner = np.concatenate([p for _, p in held]), np.repeat(np.arange(len(held)), lengths)
-        most = max(1, SLICE // len(self.languages))
         for n in self.orders:
             grams = buckets(points, (n,), self.bits)
             whole = owner[: len(grams)] == owner[n - 1 :]
             grams, own = grams[whole], owner[: len(grams)][whole]
             # Several texts fit by the way they were gathered; one alone may need several slices.
-            for at in range(0, len(grams), most):
-                part, here = grams[at : at + most], own[at : at + most]
+            for at in range(0, len(grams), SLICE):
+                part, here = grams[at : at + SLICE], own[at : at + SLICE]
                 starts = np.flatnonzero(np.concatenate(([True], here[1:] != here[:-1])))
-                out[rows[here[starts]]] += np.add.reduceat(self.logp[part], starts, axis=0, dtype=np.float64)
+                out[rows[here[starts]]] += np.add.reduceat(self.logp[part], starts, axis=0)
 
 
 @dataclass(frozen=True)
@@ -121,7 +120,7 @@ class Model:
 
     def parts(self) -> Iterator[Part]:
         """The languages in parts whose matrices have at most MOST_BYTES; the driver holds one at a time."""
-        step = max(1, MOST_BYTES // (4 << self.bits))
+        step = max(1, MOST_BYTES // (8 << self.bits))
         prior = np.log(np.array(self.documents, float) / max(1, sum(self.documents)))
         for at in range(0, len(self.languages), step):
             names = self.languages[at : at + step]
@@ -176,7 +175,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     small_batches(spark)
     state = [T.StructField("_best", T.DoubleType()), T.StructField("_name", T.StringType()), T.StructField("_sum", T.DoubleType())]
     rows = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"), F.lit(float("-inf")).alias("_best"), F.lit("und").alias("_name"), F.lit(0.0).alias("_sum"))
-    parts = -(-len(model.languages) * (4 << model.bits) // MOST_BYTES)
+    parts = -(-len(model.languages) // max(1, MOST_BYTES // (8 << model.bits)))
     for k, part in enumerate(model.parts()):
         sent, last = spark.sparkContext.broadcast(part), k == parts - 1
 

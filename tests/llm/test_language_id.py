@@ -54,7 +54,7 @@ def test_against_plain_bayes(monkeypatch):
                 assert (row == -np.inf).all()
                 continue
             want = np.array([sum(logp[k][b] for b in buckets(codes(t), (1, 2), 10)) for k in range(3)]) + np.log(1 / 3)
-            assert np.allclose(row, want, atol=1e-3) and (row == part.totals([t])[0]).all()
+            assert np.allclose(row, want, atol=1e-9) and (row == part.totals([t])[0]).all()
 
 
 def test_parts_of_languages(spark, monkeypatch):
@@ -65,7 +65,7 @@ def test_parts_of_languages(spark, monkeypatch):
     docs = docs.unionByName(docs.filter("lang like '__2'").selectExpr("doc_id + 5000 AS doc_id", "text", "left(lang, 2) AS lang")).filter("pmod(crc32(cast(doc_id AS string)), 4) <> 2")
     key = lambda r: (str(r.doc_id), r.lang_pred, round(r.score, 9))
     whole = sorted(map(key, identify(docs, fit(docs)).collect()))
-    monkeypatch.setattr(language_id, "MOST_BYTES", 4 << 16)
+    monkeypatch.setattr(language_id, "MOST_BYTES", 8 << 16)
     monkeypatch.setattr(language_id, "MOST_IDS", 0)
     assert sorted(map(key, identify(docs, fit(docs)).collect())) == whole and len({r[1] for r in whole}) > 2
     same = np.ones((2, 1 << 10))
