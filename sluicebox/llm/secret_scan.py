@@ -23,6 +23,7 @@ from sluicebox.llm.common import let, park
 #: Most blobs whose paths are broadcast, some 20 MB; beyond it texts that a filter takes for theirs shuffle to them.
 MOST_BLOBS = 100_000
 _FOUND = "array<struct<start:int,rank:int,end:int,kind:string>>"
+_LEDGER = f"blob binary, rules array<string>, found {_FOUND}"
 
 
 @dataclass(frozen=True)
@@ -107,6 +108,12 @@ def _known(ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return held.select("blob", "rules", ranked.cast(_FOUND).alias("found"))
 
 
+def _findings(seen: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(path, blob, found) of every version, from all rows of the ledger about its blob."""
+    hits = ledger.filter(F.size("found") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+    return seen.join(park(hits, "hits"), "blob", "left").select("path", "blob", F.coalesce("found", F.array().cast(_FOUND)).alias("found"))
+
+
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(findings, new ledger rows).
 
@@ -117,7 +124,12 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     """
     every = F.array(*[F.lit(x) for x in rule_versions(rules)])
     seen = park(versions(docs, path_col, text_col).withColumn("h", F.xxhash64("blob")), "versions")
-    known = None if ledger is None else park(_known(ledger, rules), "known")
+    known = None if ledger is None else _known(ledger, rules)
+    if known is not None:
+        whole = known.filter(F.size("rules") == len(rules)).select("blob")
+        if seen.select("blob").distinct().join(whole, "blob", "left_anti").isEmpty():
+            # Nothing to scan, so no text is read.
+            return _findings(seen, known), docs.sparkSession.createDataFrame([], _LEDGER)
     # Blobs of several versions, and those that the ledger knows: the others are scanned as they are met.
     several = possibly_repeated(seen, "h").filter("maybe").groupBy("blob", "h").agg(F.count("*").alias("n")).filter("n > 1").select("blob", "h")
     if known is not None:
@@ -143,22 +155,14 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
         return rows.select("blob", F.col("missing").alias("rules"), _listed(rules, names, tuple(names)).cast(_FOUND).alias("found"))
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    new = None
-    if not unseen.isEmpty() or not apart.filter("not maybe").isEmpty():
-        texts = docs.select(F.col(path_col).alias("_path"), text.alias("_text"), F.unhex(F.sha2(text, 256)).alias("_blob"))
-        texts = probed(texts, F.xxhash64("_blob"), maps, bits)
-        alone = texts.filter("not maybe").select(F.col("_blob").alias("blob"), every.alias("missing"), "_text")
-        # One path stands for each of the others. A path with several versions is told apart by the address itself.
-        first = among(texts.filter("maybe"), unseen, {"path": F.col("_path"), "blob": F.col("_blob")}, MOST_BLOBS).select("blob", "missing", "_text")
-        # A row that repeats path and text is scanned with its twin; pairs stay unique in the ledger.
-        new = scanned(alone).unionByName(scanned(first).groupBy("blob", "rules").agg(F.first("found").alias("found")))
-    new = park(new, "ledger") if new is not None else docs.sparkSession.createDataFrame([], f"blob binary, rules array<string>, found {_FOUND}")
-    all_ = new if known is None else new.unionByName(known)
-    hits = all_.filter(F.size("found") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
-    hits = park(hits, "hits")
-    empty = F.array().cast(_FOUND)
-    found = seen.join(hits, "blob", "left").select("path", "blob", F.coalesce("found", empty).alias("found"))
-    return found, new
+    texts = docs.select(F.col(path_col).alias("_path"), text.alias("_text"), F.unhex(F.sha2(text, 256)).alias("_blob"))
+    texts = probed(texts, F.xxhash64("_blob"), maps, bits)
+    alone = texts.filter("not maybe").select(F.col("_blob").alias("blob"), every.alias("missing"), "_text")
+    # One path stands for each of the others. A path with several versions is told apart by the address itself.
+    first = among(texts.filter("maybe"), unseen, {"path": F.col("_path"), "blob": F.col("_blob")}, MOST_BLOBS).select("blob", "missing", "_text")
+    # A row that repeats path and text is scanned with its twin; pairs stay unique in the ledger.
+    new = park(scanned(alone).unionByName(scanned(first).groupBy("blob", "rules").agg(F.first("found").alias("found"))), "ledger")
+    return _findings(seen, new if known is None else new.unionByName(known)), new
 
 
 def as_text(found: Column, kinds: tuple[str, ...] | None = None) -> Column:
