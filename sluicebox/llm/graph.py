@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluicebox.llm.common import park
+from sluicebox.storage import drop
 
 
 def _flat(hooks: DataFrame) -> DataFrame:
-    """(a, p) with every p replaced by the root that it leads to, two steps a round."""
+    """(a, p) with every p replaced by the root that it leads to, two steps a round. hooks, a parked table, is
+    deleted, and so are the tables between."""
     while True:
         one = hooks.select(F.col("a").alias("a1"), F.col("p").alias("p1"))
         two = hooks.join(one, F.col("p") == F.col("a1")).select("a", F.col("p1").alias("p"), (F.col("p") != F.col("p1")).alias("moved"))
-        hooks = park(two, "flat")
+        before, hooks = hooks, park(two, "flat")
+        drop(before)
         if hooks.filter("moved").isEmpty():
             return hooks.select("a", "p")
 
@@ -24,6 +27,7 @@ def components(links: DataFrame) -> DataFrame:
     Each round hooks every node to its smallest neighbour, flattens the chains, and contracts the links to those
     between different roots; the number of nodes that still have links falls by half a round at least. All tables
     are parked, so each round starts from written files, and a node with very many links is summed before it moves.
+    Tables that no later round reads are deleted.
     """
     edges = park(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     labels = None
@@ -38,6 +42,7 @@ def components(links: DataFrame) -> DataFrame:
             labels = park(moved, "labels")
         left, right = (hooks.select(F.col("a").alias(f"k{x}"), F.col("p").alias(x)) for x in ("x", "y"))
         rest = edges.join(left, F.col("a") == F.col("kx")).join(right, F.col("b") == F.col("ky")).filter("x <> y")
-        edges = park(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        before, edges = edges, park(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        drop(before)
         if edges.isEmpty():
             return labels
