@@ -14,7 +14,10 @@ def _value(metric: str) -> Column:
     return F.when(~F.isnan(F.col(metric).cast("double")), F.col(metric).cast("double"))
 
 
-#: Most values of a group that the built-in median, which holds all distinct ones, is used for.
+#: Most values, over all groups and metrics, that the built-in median is used for. It holds all distinct ones, of many
+#: groups at once, some 100 bytes each.
+MOST_HELD = 4_000_000
+#: Most values that a column's median is sorted from on the way to the driver.
 MOST_SORTED = 100_000
 #: Relative accuracy of the approximate percentiles that bracket a median, and how far from the middle they are.
 ACCURACY, MARGIN = 2_000, 0.001
@@ -53,12 +56,10 @@ def _bracketed(rows: DataFrame, group: list[str], values: dict[str, Column]) ->
 
 
 def statistics(df: DataFrame, group: list[str], metrics: list[str], large: bool | None = None) -> DataFrame:
-    """One row per group: med_<metric> and mad_<metric>, exact. Groups of at most MOST_SORTED rows go to the built-in
-    median; with larger ones, all go by brackets. large says which instead of counting: True where groups may have
-    any size, False where they are batches of a bounded one."""
+    """One row per group: med_<metric> and mad_<metric>, exact. Tables of at most MOST_HELD values go to the built-in
+    median; larger ones go by brackets, whatever the sizes of their groups. large says which instead of counting."""
     if large is None:
-        most = df.groupBy(*group).count().agg(F.max("count")).first()[0]
-        large = (most or 0) > MOST_SORTED
+        large = df.count() * len(metrics) > MOST_HELD
     medians = _bracketed if large else _exact
     side = medians(df, group, {f"med_{m}": _value(m) for m in metrics})
     names = {g: f"_g_{g}" for g in group}

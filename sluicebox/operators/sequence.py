@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluicebox.storage import global_index
+from sluicebox.storage import global_index, park, spread
 
 
 def with_batches(df: DataFrame, *order: Column, size: int = 100_000) -> DataFrame:
@@ -86,7 +86,8 @@ def hash_links(hashes: DataFrame, hash_col: str, threshold: int, bits: int = 63,
     The smaller hash of a pair looks up, in each band of bits, all keys within the radius that some band of the pair
     is sure to have; the larger one stands under its own. A pair is reported at the first band that is within.
     """
-    rows = hashes.select(F.col(hash_col).alias("h")).filter("h is not null").distinct()
+    # Few hashes have many keys, so even a small table is dealt to all cores before they are made.
+    rows = spread(park(hashes.select(F.col(hash_col).alias("h")).filter("h is not null").distinct(), "hashes"))
     bands = band_count(rows.count(), threshold, bits) if bands is None else bands
     radius, edges = (threshold - 1) // bands, _edges(bits, bands)
     width = [b - a for a, b in zip(edges, edges[1:])]
@@ -108,7 +109,8 @@ def hamming_pairs(hashes: DataFrame, id_col: str, hash_col: str, threshold: int,
     """(a, b, distance) of all pairs a < b fewer than `threshold` bits apart; rows without a hash have none. Only
     distinct hashes are compared (hash_links, which is what to use where many rows are equal): the ids of equal
     rows are paired when a link is written out."""
-    rows = hashes.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h")).filter("h is not null")
+    # Narrow rows, read several times; computing their hashes may be costly.
+    rows = park(hashes.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h")).filter("h is not null"), "rows")
     links = hash_links(rows, "h", threshold, bits, bands)
     x, y = (rows.select(F.col("id").alias(i), F.col("h").alias(h)) for i, h in (("i", "p"), ("j", "q")))
     apart = links.join(x, F.col("x") == F.col("p")).join(y, F.col("y") == F.col("q")).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "distance").filter("a < b")

@@ -12,7 +12,7 @@ from sluicebox.operators import robust
 from sluicebox.plans import curation
 from sluicebox.plans.vectors import SIDE as CELLS
 from sluicebox.plans.vectors import vectors
-from sluicebox.storage import park
+from sluicebox.storage import park, spread
 
 #: A picture has SIDE x SIDE pixels in CELLS x CELLS flat cells; green and red take other cells than blue.
 SIDE, SHIFT = 40, 21
@@ -34,7 +34,7 @@ def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     line = lambda y: F.array_join(F.transform(each, lambda x: F.repeat(cell(y * CELLS + x), F.lit(_STEP))), "")
     data = F.unhex(F.array_join(F.transform(each, lambda y: F.repeat(line(y), F.lit(_STEP))), ""))
-    rows = vectors(spark, sf_dir)
+    rows = spread(vectors(spark, sf_dir))
     rows = rows.select(_path().alias("path"), F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"), F.lit(3).alias("channels"), F.when(F.col("vec_id") % 50 != 7, data).alias("data"))
     return park(rows, "pictures")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sluicebox.functions import numeric, text
 from sluicebox.operators import review, robust, sequence, training, video
 from sluicebox.session import table
-from sluicebox.storage import global_index
+from sluicebox.storage import global_index, spread
 
 LINEITEM = {"l_quantity": True, "l_extendedprice": False, "l_discount": False, "l_tax": False}
 
@@ -25,7 +25,7 @@ def mad_reject_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", *LINEITEM)
     # At k = 3 these bounded columns have no outliers.
-    return robust.verdicts(rows, ["l_returnflag"], LINEITEM, k=1.0)
+    return robust.verdicts(spread(rows), ["l_returnflag"], LINEITEM, k=1.0)
 
 
 def mad_bad_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +168,7 @@ def crop_and_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A random crop box for images of many shapes, and whether they are flipped."""
     k = F.col("p_partkey")
     box = numeric.crop_box((400 + k % 2900).cast("double"), (390 + k * 7 % 2000).cast("double"), k, seed=5)
-    return table(spark, sf_dir, "part").select("p_partkey", box.alias("b"), (numeric.uniform(k, F.lit("flip"), seed=5) < 0.5).alias("flipped")).select("p_partkey", "b.*", "flipped")
+    return spread(table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", box.alias("b"), (numeric.uniform(k, F.lit("flip"), seed=5) < 0.5).alias("flipped")).select("p_partkey", "b.*", "flipped")
 
 
 def window_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

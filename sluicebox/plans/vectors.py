@@ -11,7 +11,7 @@ from sluicebox.functions import pixels
 from sluicebox.functions.numeric import sign_hash, swish
 from sluicebox.operators import robust, sequence, training
 from sluicebox.session import table
-from sluicebox.storage import park
+from sluicebox.storage import park, spread
 
 SIDE = 8
 #: Distances and queue at which some of the test vectors are rejected and some kept.
@@ -122,19 +122,19 @@ def bad_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mask_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training.mask_relation(vectors(spark, sf_dir).select("vec_id"), "vec_id", seed=7)
+    return training.mask_relation(spread(vectors(spark, sf_dir).select("vec_id")), "vec_id", seed=7)
 
 
 def apply_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors with 9 of their 16 patches of 2 x 2 set to 0."""
     flags = training.patch_mask(F.col("vec_id"), 16, seed=7)
     hidden = training.masked_pixels(F.col("embedding"), F.col("flags"), SIDE, 2)
-    return vectors(spark, sf_dir).withColumn("flags", flags).select("vec_id", F.posexplode(hidden).alias("pixel", "value")).withColumn("value", F.round("value", 6))
+    return spread(vectors(spark, sf_dir)).withColumn("flags", flags).select("vec_id", F.posexplode(hidden).alias("pixel", "value")).withColumn("value", F.round("value", 6))
 
 
 def masked_l1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector as the reconstruction of the one before it."""
-    rows = vectors(spark, sf_dir)
+    rows = spread(vectors(spark, sf_dir))
     pairs = rows.select("vec_id", F.col("embedding").alias("original")).join(rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("made")), "vec_id")
     pairs = pairs.withColumn("flags", training.patch_mask(F.col("vec_id"), 16, seed=7))
     total, n = training.masked_l1(F.col("made"), F.col("original"), F.col("flags"), SIDE, 2)

@@ -63,6 +63,22 @@ def park_by(df: DataFrame, key: str, label: str) -> DataFrame:
     return out
 
 
+#: Bytes of input for each core beyond which a table is taken as it comes.
+ENOUGH = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, parked over as many files as the cluster has cores if its own files would keep less than half of them
+    busy: one row group is one task, however long its rows take. Only inputs of less than ENOUGH bytes a core are
+    looked at, so large tables are never moved."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > ENOUGH * cores or 2 * df.select(F.spark_partition_id().alias("p")).distinct().count() >= cores:
+        return df
+    return park(df.repartition(cores), "spread")
+
+
 #: monotonically_increasing_id() holds the partition above these bits and the position in it below.
 _BITS = 33
 
