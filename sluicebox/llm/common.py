@@ -8,9 +8,9 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicebox.storage import park
+from sluicebox.storage import park, spread
 
-__all__ = ["MOST_IDS", "SPACES", "WORD", "batches_of", "fresh", "let", "park", "small_batches", "word_count"]
+__all__ = ["MOST_IDS", "SPACES", "WORD", "batches_of", "fresh", "let", "park", "small_batches", "spread", "word_count"]
 
 #: Most keys of a few numbers that are sent to every executor, some 50 MB as a hash relation; beyond it joins shuffle.
 MOST_IDS = 500_000

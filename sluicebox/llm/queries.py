@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sluicebox.llm.byte_bpe import encode_decode
 from sluicebox.llm.chat_format import format_chats
+from sluicebox.llm.common import spread
 from sluicebox.llm.exact_dedup import exact_groups
 from sluicebox.llm.language_id import fit, identify
 from sluicebox.llm.mixing import mix
@@ -22,23 +23,27 @@ from sluicebox.session import table
 GAP_CLASS = r"[\x20\x09-\x0D]"
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(table(spark, sf_dir, "documents")).drop("text_length")
+    return exact_groups(_documents(spark, sf_dir)).drop("text_length")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     return identify(docs, fit(docs))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    found = encode_decode(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rounds over the same paths: the second finds every pair in the ledger that the first wrote."""
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     _, ledger = scan(docs)
     found, _ = scan(docs, ledger)
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
@@ -49,12 +54,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = judge(table(spark, sf_dir, "documents"))
+    found = judge(_documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).taken()
+    return mix(_documents(spark, sf_dir)).taken()
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,16 +70,16 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents"), key="surrogate key of the registered query")
+    return pseudonymise(_documents(spark, sf_dir), key="surrogate key of the registered query")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     return quality_classifier.classify(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ngram_join(table(spark, sf_dir, "documents"), k=4, num=85, den=100).groups()
+    found = ngram_join(_documents(spark, sf_dir), k=4, num=85, den=100).groups()
     return found.select("doc_id", "n_shingles", "component_id")
 
 
