@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sluicebox.llm import quality_classifier
 from sluicebox.llm.byte_bpe import encode_decode
-from sluicebox.llm.common import park
+from sluicebox.llm.common import park, spread
 from sluicebox.llm.exact_dedup import drop_copies
 from sluicebox.llm.mixing import mix
 from sluicebox.llm.ngram_join import ngram_join
@@ -63,7 +63,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the last stage. Each stage's table is written before the next begins and deleted once that has written
     its own; the last one's rows are computed from what is left."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for at, (name, stage) in enumerate(STAGES[:-1]):
         before, docs = docs, park(stage(spark, docs, sf_dir), name)
         if at:
