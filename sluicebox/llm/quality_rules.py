@@ -21,6 +21,8 @@ from sluicebox.llm.common import SPACES, WORD, let, park
 SYMBOLS = "#*$%&|<>"
 #: Frequent function words of English, German, French and Spanish.
 FUNCTION_WORDS = "the and of to in is that der die und das ist le la les et des est el los las que y en de un"
+#: One of them between characters that are neither letters nor digits; what `\b` takes for letters depends on the JVM.
+_KNOWN = rf"(?i)(?<![\p{{L}}\p{{N}}_])({FUNCTION_WORDS.replace(' ', '|')})(?![\p{{L}}\p{{N}}_])"
 
 
 def _sum(array: Column) -> Column:
@@ -68,7 +70,7 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         _dup_lines(F.split("_t", "\n", -1)).alias("_l"),
         F.regexp_count("_t", F.lit("[A-Z]")).cast("long").alias("n_upper"),
-        F.col("_t").rlike(rf"(?i)\b({FUNCTION_WORDS.replace(' ', '|')})\b").alias("has_function_word"),
+        F.col("_t").rlike(_KNOWN).alias("has_function_word"),
     )
     return slim.select(id_col, F.col("_w.n").alias("n_words"), "word_chars", "n_symbols", F.col("_l.n").alias("n_lines"), F.col("_l.dup").alias("n_dup_lines"), F.col("_w.repeats").alias("n_repeat_words"), "n_upper", "has_function_word")
 
