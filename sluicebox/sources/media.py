@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import shutil
 import subprocess
 from collections.abc import Callable, Iterator
@@ -65,8 +66,14 @@ def require_tools(*names: str) -> None:
         raise RuntimeError(f"not installed or not working: {', '.join(lacking)}")
 
 
-def _probe(path: str) -> str | None:
+@functools.cache
+def _ready() -> None:
+    """require_tools("ffmpeg"), asked once per process and not once per video."""
     require_tools("ffmpeg")
+
+
+def _probe(path: str) -> str | None:
+    _ready()
     done = subprocess.run(["ffmpeg", "-hide_banner", "-i", path], capture_output=True, timeout=60)
     return done.stderr.decode(errors="replace")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sluicebox.operators import video
 from sluicebox.plans import curation
-from sluicebox.sources import media, sinks
+from sluicebox.sources import frames, media, sinks
 
 
 def png(path, rgb):
@@ -138,3 +138,40 @@ def test_tools(monkeypatch):
     monkeypatch.setattr(media.shutil, "which", lambda name: None)
     with pytest.raises(RuntimeError):
         media.gpu_decoders()
+
+
+DECODER = """#!{python}
+import sys
+name = sys.argv[sys.argv.index("-i") + 1].rsplit("/", 1)[1]
+if name == "none.mp4":
+    sys.exit(0)
+for k in range(7):
+    sys.stdout.buffer.write(b"P6\\n3 2\\n255\\n" + bytes([k, 10, 32] * 6))
+if name == "cut.mp4":
+    sys.stdout.buffer.write(b"P6 3 2 255 " + bytes(5))
+if name == "broken.avi":
+    sys.exit("no key frame")
+"""
+
+
+def test_frames(spark, tmp_path):
+    """Pixels of any values, white space among them, from a stand-in for the decoder."""
+    tool, videos = tmp_path / "decoder", tmp_path / "in"
+    tool.write_text(DECODER.format(python=sys.executable))
+    tool.chmod(0o755)
+    (videos / "below").mkdir(parents=True)
+    for name in ("a.MP4", "below/b.mkv", "none.mp4", "cut.mp4", "below/broken.avi", "notes.txt"):
+        (videos / name).write_text("x")
+    frames.register(spark)
+    for tasks, every in ((10_000, 1), (2, 3)):
+        read = spark.read.format("frames").option("tool", str(tool)).option("tasks", tasks).option("every", every)
+        got = read.load(str(videos)).collect()
+        rows = sorted((r.path.rsplit("/", 1)[1], r.frame) for r in got if r.error is None)
+        assert rows == sorted((n, k) for n in ("a.MP4", "b.mkv", "cut.mp4", "broken.avi") for k in range(0, 7, every))
+        assert all((r.height, r.width, bytes(r.data)) == (2, 3, bytes([32, 10, r.frame] * 6)) for r in got if r.error is None)
+        failed = {r.path.rsplit("/", 1)[1]: (r.frame, r.data, r.error.strip()) for r in got if r.error is not None}
+        assert failed == {"cut.mp4": (None, None, "the last frame is cut off"), "broken.avi": (None, None, "no key frame")}
+    (tmp_path / "empty").mkdir()
+    assert spark.read.format("frames").load(str(tmp_path / "empty")).collect() == []
+    with pytest.raises(Exception, match="no-such-decoder"):
+        spark.read.format("frames").option("tool", "no-such-decoder").load(str(videos)).collect()
