@@ -16,7 +16,7 @@ from sluicebox.operators import video
 from sluicebox.plans import vectors
 from sluicebox.session import table
 from sluicebox.sources import media, sinks
-from sluicebox.storage import park, shared_dir
+from sluicebox.storage import park, shared_dir, spread
 from sluicebox.streaming.sequence import stream_fifo_dedup
 
 #: Vectors in a sequence of the stream.
@@ -29,14 +29,14 @@ def _folder(spark: SparkSession) -> str:
 
 
 def _written(paths: DataFrame) -> None:
-    """One byte at every path."""
+    """One byte at every path, as a hole: it takes no block of the disk."""
 
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for path in part.path:
                 os.makedirs(os.path.dirname(path), exist_ok=True)
                 with open(path, "w") as out:
-                    out.write("x")
+                    out.truncate(1)
             yield part
 
     paths.select("path").mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
@@ -51,7 +51,7 @@ def file_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the three listings find among files of many kinds, a third of them in a folder below."""
     folder, k = _folder(spark), F.col("p_partkey")
     below = F.when(k % 3 == 0, "/below/").otherwise("/")
-    _written(table(spark, sf_dir, "part").select(F.concat(F.lit(folder), below, _part_name(k)).alias("path")))
+    _written(spread(table(spark, sf_dir, "part").select(F.concat(F.lit(folder), below, _part_name(k)).alias("path"))))
     found = [(media.image_catalog(spark, folder, 64), "image"), (media.video_catalog(spark, folder), "video"), (media.training_catalog(spark, folder), "training")]
     order = lambda df: F.col("idx") if "idx" in df.columns else F.lit(-1).cast("long")
     rows = [df.select(F.lit(kind).alias("kind"), "name", "ext", order(df).alias("idx")) for df, kind in found]

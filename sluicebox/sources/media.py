@@ -2,24 +2,146 @@
 
 from __future__ import annotations
 
+import errno
 import functools
+import itertools
+import os
 import shutil
 import subprocess
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluicebox.functions import text
-from sluicebox.storage import global_index
+from sluicebox.storage import global_index, own_path, park
+
+
+#: Entries of folders that a task lists for one that it was given, before it leaves the folders below to other tasks.
+WALK = 100_000
+#: Rows that are handed on at once.
+ROWS = 10_000
+
+
+def _hidden(name: str) -> bool:
+    """Whether Spark's readers pass over a folder of this name; over a file also if it begins with `_metadata`."""
+    out = name.startswith("_") and "=" not in name or name.startswith(".") or name.endswith("._COPYING_")
+    return out and not name.startswith(("_metadata", "_common_metadata"))
+
+
+def _wanted(name: str, extensions: tuple[str, ...]) -> bool:
+    return name.lower().endswith(extensions) and not _hidden(name) and (name[0] != "_" or "=" in name)
+
+
+def _known(entry: os.DirEntry) -> tuple[bool, int]:
+    """Whether it is a folder, and its bytes; none if it is gone or a link to nothing."""
+    try:
+        return (True, 0) if entry.is_dir() else (False, entry.stat().st_size)
+    except OSError as error:
+        if error.errno in (errno.ENOENT, errno.ENOTDIR, errno.ELOOP):
+            return False, 0
+        raise
+
+
+def _walked(root: str, extensions: tuple[str, ...], recursive: bool, most: int, gone: bool) -> Iterator[tuple[str, bool]]:
+    """(path, False) of the files of a folder and below, and (path, True) of folders left to others. gone: whether the
+    folder may have been deleted since it was found. Names that aren't UTF-8 have no path that Spark can open."""
+    waiting, seen = [root], 0
+    while waiting:
+        here = waiting.pop()
+        if seen >= most:
+            yield here, True
+            continue
+        try:
+            entries = os.scandir(here)
+        except (FileNotFoundError, NotADirectoryError):
+            if here != root or gone:
+                continue
+            raise
+        with entries:
+            for entry in entries:
+                seen += 1
+                if not entry.name.isascii() and os.fsencode(entry.name) != entry.name.encode("utf-8", "replace"):
+                    continue
+                if not (plain := _wanted(entry.name, extensions)) and not recursive:
+                    continue
+                # Of files of other kinds no more is read than the folder itself tells.
+                folder, size = _known(entry) if plain or entry.is_symlink() else (entry.is_dir(), 0)
+                if folder and recursive and not _hidden(entry.name):
+                    if seen < most:
+                        waiting.append(entry.path)
+                    else:
+                        yield entry.path, True
+                elif plain and not folder and size:
+                    yield entry.path, False
+
+
+def _mounted(spark: SparkSession, folders: list[str], extensions: tuple[str, ...], recursive: bool) -> DataFrame:
+    """(path) of files below folders of a file system that all executors mount. Executors read the folders and write
+    what they find; those that a task leaves are dealt out for the next round."""
+    most, cores = WALK, spark.sparkContext.defaultParallelism
+
+    def walk(gone: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            rows = (row for part in parts for root in part.path for row in _walked(root, extensions, recursive, most, gone))
+            while some := list(itertools.islice(rows, ROWS)):
+                yield pd.DataFrame(some, columns=["path", "below"])
+
+        return run
+
+    left, count, rounds = spark.createDataFrame([(f,) for f in folders], "path string"), len(folders), []
+    while count:
+        rounds.append(park(left.repartition(min(count, 4 * cores)).mapInPandas(walk(bool(rounds)), "path string, below boolean"), "listed"))
+        left = rounds[-1].filter("below").select("path")
+        count = left.count()
+    return functools.reduce(DataFrame.unionByName, rounds).filter("not below").select(F.concat(F.lit("file:"), "path").alias("path"))
+
+
+def _stored(spark: SparkSession, fs: JavaObject, folders: list[JavaObject], extensions: tuple[str, ...], recursive: bool) -> DataFrame:
+    """(path) of files below folders of another store, which only the driver's JVM can list: entry by entry, and
+    written out after so many that the driver never holds them all."""
+
+    def files() -> Iterator[tuple[str]]:
+        waiting = list(folders)
+        while waiting:
+            entries = fs.listStatusIterator(waiting.pop())
+            while entries.hasNext():
+                entry = entries.next()
+                path = entry.getPath()
+                name = path.getName()
+                if entry.isDirectory():
+                    if recursive and not _hidden(name):
+                        waiting.append(path)
+                elif _wanted(name, extensions) and entry.getLen():
+                    yield (path.toString(),)
+
+    path, rows = own_path(spark, "listed"), files()
+    spark.createDataFrame([], "path string").write.parquet(path)
+    while some := list(itertools.islice(rows, 10 * ROWS)):
+        spark.createDataFrame(some, "path string").write.mode("append").parquet(path)
+    return spark.read.schema("path string").parquet(path)
 
 
 def _listed(spark: SparkSession, folder: str, extensions: tuple[str, ...], recursive: bool) -> DataFrame:
-    """(path, name, ext) of files; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder).select("path")
+    """(path, name, ext) of files; contents are not read. The listing is a parked table, as large as it may be: the
+    driver holds only what the pattern `folder` itself matches."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    roots = list(fs.globStatus(fs.makeQualified(path)) or ())
+    if not roots:
+        raise FileNotFoundError(folder)
+    folders = [r.getPath() for r in roots if r.isDirectory()]
+    files = [r.getPath() for r in roots if r.isFile() and r.getLen() and _wanted(r.getPath().getName(), extensions)]
+    parts = [spark.createDataFrame([(p.toString(),) for p in files], "path string")] if files or not folders else []
+    if folders and fs.getUri().getScheme() == "file":
+        parts.append(_mounted(spark, [p.toUri().getPath() for p in folders], extensions, recursive))
+    elif folders:
+        parts.append(_stored(spark, fs, folders, extensions, recursive))
+    found = functools.reduce(DataFrame.unionByName, parts)
     name = text.file_name(F.col("path"))
-    return files.select("path", name.alias("name"), text.extension(name).alias("ext")).filter(F.col("ext").isin(*extensions))
+    return found.select("path", name.alias("name"), text.extension(name).alias("ext")).filter(F.col("ext").isin(*extensions))
 
 
 def image_catalog(spark: SparkSession, folder: str, batch: int = 100_000) -> DataFrame:

@@ -42,11 +42,16 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def own_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing has used, for a table."""
+    return f"{_own(spark)}/{uuid.uuid4().hex}/{label}"
+
+
 def park(df: DataFrame, label: str) -> DataFrame:
     """The rows of df as a Parquet table in the shared folder, read again. It cuts the lineage, survives lost
     executors and gives later joins a scan below their own exchange, which adaptive execution can split."""
     spark = df.sparkSession
-    path = f"{_own(spark)}/{uuid.uuid4().hex}/{label}"
+    path = own_path(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._parked = path.rsplit("/", 1)[0]
@@ -56,7 +61,7 @@ def park(df: DataFrame, label: str) -> DataFrame:
 def park_by(df: DataFrame, key: str, label: str) -> DataFrame:
     """park(), with one folder for each of the few values of an integer key, so that a filter on it reads one."""
     spark = df.sparkSession
-    path = f"{_own(spark)}/{uuid.uuid4().hex}/{label}"
+    path = own_path(spark, label)
     df.write.partitionBy(key).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._parked = path.rsplit("/", 1)[0]

@@ -49,6 +49,39 @@ def test_catalog_and_pixels(spark, folder):
     (folder / "sub" / "rgb.png").unlink()
 
 
+def test_listings(spark, tmp_path, monkeypatch):
+    """What Spark's reader of files finds, without an entry for every file on the driver."""
+    names = ["a b.jpg", "100%.png", "ü.JPG", "_x.jpg", ".x.jpg", "_k=1.jpg", "_metadata.jpg", "x.jpg._COPYING_", "n.txt", "empty.jpg", "x\ny.png"]
+    for below in ("", "s", "s/deep", "_s", "_metadata_s", "_k=v", ".s", "dir.jpg", *(f"w{i}" for i in range(9))):
+        (tmp_path / "in" / below).mkdir(parents=True)
+        for name in names if below[:1] != "w" else [f"{k}.jpg" for k in range(30)]:
+            (tmp_path / "in" / below / name).write_text("" if "empty" in name else "x")
+    (tmp_path / "in" / "gone.jpg").symlink_to(tmp_path / "no-such")
+    (tmp_path / "in" / "ring.jpg").symlink_to(tmp_path / "in" / "ring.jpg")
+    (tmp_path / "in" / "file-link.jpg").symlink_to(tmp_path / "in" / "a b.jpg")
+    (tmp_path / "in" / "folder-link").symlink_to(tmp_path / "in" / "s")
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.media.link./in", f"file://{tmp_path}/in")
+    ends = ("jpg", "png", "JPG")
+    folders = f"{tmp_path}/in", f"file://{tmp_path}/in", "viewfs://media/in", f"{tmp_path}/in/[sw]*", f"{tmp_path}/in/*b.jpg"
+    for most, some in ((3, folders[:1]), (media.WALK, folders[1:])):
+        monkeypatch.setattr(media, "WALK", most)
+        for folder in some:
+            for recursive, listing in ((True, media.training_catalog), (False, media.image_catalog)):
+                read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+                want = sorted(r.path for r in read.collect() if r.path.endswith(ends))
+                if not recursive:
+                    want = [p for p in want if folder.endswith("jpg") or p[p.index("/in") :].count("/") == (3 if "*" in folder else 2)]
+                got = listing(spark, folder)
+                assert sorted(r.path for r in got.collect()) == want
+                assert len(want) > 1 or folder.endswith("jpg") and len(want) == 1
+                if len(want) > 200:
+                    assert len(got.inputFiles()) < len(want) / 2
+    (tmp_path / "none").mkdir()
+    assert media.video_catalog(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(FileNotFoundError):
+        media.video_catalog(spark, str(tmp_path / "no-such"))
+
+
 def test_curate(spark, folder, tmp_path):
     made = curation.curate(spark, str(folder), threshold=10)
     got = {r.name: r for r in made.collect()}
